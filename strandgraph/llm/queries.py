@@ -13,6 +13,8 @@ from .line_dedup import drop_frequent_lines
 from .media_columns import store_payloads
 from .mixing import mix_sources
 from .packing import pack
+from .substring_dedup import dedup_substrings
+from .suffix_dedup import dedup_suffixes
 from .topk_search import every_fiftieth, top_k
 
 
@@ -33,6 +35,11 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(read(spark, sf_dir, "documents"))
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = dedup_substrings(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
 def op5_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store_payloads(read(spark, sf_dir, "documents"))
 
@@ -51,10 +58,15 @@ def op8_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(vectors, every_fiftieth(vectors), k=5)
 
 
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = dedup_suffixes(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return kept.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mix_sources(read(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "size", "source_size", F.round("target", 4).alias("target"), "taken")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_license_scan, op5_media_columns, op6_packing, op7_line_dedup, op8_topk_search, op10_mixing)}
+    return {f.__name__: f for f in (op1_license_scan, op2_substring_dedup, op5_media_columns, op6_packing, op7_line_dedup, op8_topk_search, op9_suffix_dedup, op10_mixing)}
