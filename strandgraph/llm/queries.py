@@ -8,6 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .jaccard_join import similar_documents
 from .license_scan import scan_licenses
 from .line_dedup import drop_frequent_lines
 from .media_columns import store_payloads
@@ -40,6 +41,10 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return similar_documents(read(spark, sf_dir, "documents"), n=3, percent=90)
+
+
 def op5_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store_payloads(read(spark, sf_dir, "documents"))
 
@@ -69,4 +74,4 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_license_scan, op2_substring_dedup, op5_media_columns, op6_packing, op7_line_dedup, op8_topk_search, op9_suffix_dedup, op10_mixing)}
+    return {f.__name__: f for f in (op1_license_scan, op2_substring_dedup, op3_ngram_jaccard_join, op5_media_columns, op6_packing, op7_line_dedup, op8_topk_search, op9_suffix_dedup, op10_mixing)}

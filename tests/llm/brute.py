@@ -47,3 +47,27 @@ def suffixes(docs: list[tuple[int, str | None]], window: int) -> list[tuple]:
         spans = sum(1 for p in range(len(b)) if gone[p] and (p == 0 or not gone[p - 1]))
         out.append((i, len(b), sum(gone), spans, sha(kept)))
     return sorted(out)
+
+
+def jaccard(docs: list[tuple[int, str | None]], n: int, percent: int) -> list[tuple]:
+    lower = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    sets = []
+    for i, t in docs:
+        w = WORD.findall((t or "").translate(lower))
+        sets.append((i, frozenset(tuple(w[p : p + n]) for p in range(len(w) - n + 1)) if len(w) >= n else frozenset([tuple(w)] if w else [])))
+    parent = {k: k for k in range(len(sets))}
+
+    def top(x: int) -> int:
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a in range(len(sets)):
+        for b in range(a):
+            x, y = sets[a][1], sets[b][1]
+            if x and y and 100 * min(len(x), len(y)) >= percent * max(len(x), len(y)) and 100 * len(x & y) >= percent * len(x | y):
+                parent[top(a)] = top(b)
+    least: dict[int, int] = {}
+    for k, (i, _) in enumerate(sets):
+        least[top(k)] = min(least.get(top(k), i), i)
+    return sorted((i, len(x), least[top(k)]) for k, (i, x) in enumerate(sets))
