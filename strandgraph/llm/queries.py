@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .jaccard_join import similar_documents
+from .language_id import held_out, label, train
 from .license_scan import scan_licenses
 from .line_dedup import drop_frequent_lines
 from .media_columns import store_payloads
@@ -45,6 +46,12 @@ def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar_documents(read(spark, sf_dir, "documents"), n=3, percent=90)
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = read(spark, sf_dir, "documents")
+    rows = documents.select(F.col("doc_id"), held_out().alias("held_out"), "text")
+    return label(rows, train(documents)).select("doc_id", "held_out", "lang_pred", "score")
+
+
 def op5_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store_payloads(read(spark, sf_dir, "documents"))
 
@@ -74,4 +81,4 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_license_scan, op2_substring_dedup, op3_ngram_jaccard_join, op5_media_columns, op6_packing, op7_line_dedup, op8_topk_search, op9_suffix_dedup, op10_mixing)}
+    return {f.__name__: f for f in (op1_license_scan, op2_substring_dedup, op3_ngram_jaccard_join, op4_language_id, op5_media_columns, op6_packing, op7_line_dedup, op8_topk_search, op9_suffix_dedup, op10_mixing)}
