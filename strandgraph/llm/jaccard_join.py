@@ -318,3 +318,13 @@ def similar_documents(df: DataFrame, text: str = "text", doc_id: str = "doc_id",
     named = rows.join(stored(least), "s", "left")
     component = F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("d"))
     return named.withColumn("component", component).select(back_to_id("d").alias("doc_id"), F.col("n").alias("n_shingles"), back_to_id("component").alias("component_id"))
+
+
+def one_of_each(df: DataFrame, text: str = "text", doc_id: str = "doc_id", n: int = 3, percent: int = 90) -> DataFrame:
+    """``df`` with one document of each group of linked ones: that of the smallest id."""
+    groups = similar_documents(df, text, doc_id, n, percent)
+    kept = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(row_id("doc_id").alias("_row")).distinct()
+    rows = df.withColumn("_row", row_id(doc_id))
+    if rows.groupBy("_row").count().where("count > 1").head(1):  # equal rows once
+        rows = rows.withColumn("_text", F.xxhash64(F.coalesce(F.col(text), F.lit("")))).dropDuplicates(["_row", "_text"])
+    return rows.join(kept, "_row", "left_semi").select(*df.columns)

@@ -65,9 +65,9 @@ def offset(seed: int) -> Column:
     return F.conv(F.substring(digest, 1, 8), 16, 10).cast("long") / F.lit(float(2**32))
 
 
-def mix_sources(df: DataFrame, text: str = "text", source: str = "source", doc_id: str = "doc_id", weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: float = MOST, seed: int = 17) -> DataFrame:
-    """doc_id, source, size, source_size, target, copies, taken: a row a document."""
-    sized = stored(df.select(row_id(doc_id).alias("_id"), F.col(doc_id).alias("doc_id"), F.col(source).cast("string").alias("source"), words(text).alias("size")))
+def mix_sources(df: DataFrame, text: str = "text", source: str = "source", doc_id: str = "doc_id", weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: float = MOST, seed: int = 17, keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, source, size, source_size, target, copies, taken and the kept columns: a row a document."""
+    sized = stored(df.select(row_id(doc_id).alias("_id"), F.col(doc_id).alias("doc_id"), F.col(source).cast("string").alias("source"), words(text).alias("size"), *keep))
     sized = sized.withColumn("_slice", F.pmod("_id", F.lit(SLICES)))
     key = F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n")).alias("_source")
     sized = sized.withColumn("_source", key)
@@ -91,4 +91,15 @@ def mix_sources(df: DataFrame, text: str = "text", source: str = "source", doc_i
     at = F.col("first") + F.col("_place")
     copies = F.floor((at + 1) * F.col("_rate") + F.col("_start")) - F.floor(at * F.col("_rate") + F.col("_start"))
     copies = copies.cast("long")
-    return placed.select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
+    return placed.select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"), *keep)
+
+
+def mixed_documents(df: DataFrame, text: str = "text", source: str = "source", doc_id: str = "doc_id", **options) -> DataFrame:
+    """``df`` as the mix takes it: each row as often as its copies say, or not at all."""
+    named = df.withColumn("_row", row_id(doc_id)).withColumn("_text", F.xxhash64(F.coalesce(F.col(text), F.lit("")), F.coalesce(F.col(source), F.lit(""))))
+    copies = mix_sources(named, text, source, doc_id, keep=("_row", "_text"), **options).where("copies > 0")
+    copies = copies.groupBy("_row", "_text").agg(F.sum("copies").alias("_copies"))
+    repeated = bool(named.groupBy("_row").count().where("count > 1").head(1))
+    rows = named.dropDuplicates(["_row", "_text"]) if repeated else named  # equal rows share their copies
+    taken = rows.join(copies, ["_row", "_text"])
+    return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), "_copies"))).select(*df.columns)
