@@ -360,7 +360,7 @@ def identified(df: DataFrame, text: str, doc_id: str) -> DataFrame:
     ids = df.select(row_id(doc_id).alias("d"))
     repeated = bool(ids.groupBy("d").count().where("count > 1").head(1))
     rows = df.withColumn("d", row_id(doc_id))
-    return rows.withColumn("t", F.xxhash64(F.coalesce(F.col(text), F.lit(""))) if repeated else F.pmod("d", F.lit(1).cast("long")))
+    return rows.withColumn("t", F.xxhash64(F.coalesce(F.col(text), F.lit(""))) if repeated else F.coalesce(F.pmod("d", F.lit(1).cast("long")), F.lit(0).cast("long")))  # never null, so that equal scans stay equal plans
 
 
 def repeated_stretches(rows: DataFrame, rule: Rule, method: Method, text: str = "text", most: int = MOST) -> DataFrame:
