@@ -328,5 +328,6 @@ def label(df: DataFrame, model: Model, text: str = "text", with_spans: bool = Fa
 
     schema = T.StructType([*df.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
     if with_spans:
-        schema.add("lang_spans", "array<struct<first: int, words: int, lang: string>>")
+        run_of = T.StructType([T.StructField("first", T.IntegerType()), T.StructField("words", T.IntegerType()), T.StructField("lang", T.StringType())])
+        schema.add("lang_spans", T.ArrayType(run_of))
     return df.mapInArrow(run, schema)

@@ -22,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .kernels import flat
 
@@ -185,7 +186,7 @@ def decode_telephony(df: DataFrame, media: str = "media", to: int = PCM_RATE) ->
                 pcm.append(wave.astype("<i2").tobytes()), rates.append(to), features.append(feature(wave, codec))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(pcm, pa.binary()), pa.array(rates, pa.int32()), pa.array(features, pa.string())], [*batch.schema.names, "pcm", "pcm_rate", "feature"])
 
-    schema = df.schema.add("pcm", "binary").add("pcm_rate", "int").add("feature", "string")
+    schema = T.StructType([*df.schema.fields]).add("pcm", "binary").add("pcm_rate", "integer").add("feature", "string")
     return df.mapInArrow(run, schema)
 
 

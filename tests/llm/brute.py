@@ -71,3 +71,26 @@ def jaccard(docs: list[tuple[int, str | None]], n: int, percent: int) -> list[tu
     for k, (i, _) in enumerate(sets):
         least[top(k)] = min(least.get(top(k), i), i)
     return sorted((i, len(x), least[top(k)]) for k, (i, x) in enumerate(sets))
+
+
+def lines(docs: list[tuple[int, str | None]], least: int) -> list[tuple]:
+    lower = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    key = lambda x: x.strip(" \t\n\x0b\x0c\r").translate(lower)
+    count: dict[str, int] = {}
+    split = [(i, (t or "").split("\n")) for i, t in docs]
+    for _, ls in split:
+        for k in {key(x) for x in ls} - {""}:
+            count[k] = count.get(k, 0) + 1
+    out = []
+    for i, ls in split:
+        kept = [x for x in ls if count.get(key(x), 0) < least]
+        out.append((i, len(ls), len(ls) - len(kept), sha("\n".join(kept))))
+    return out
+
+
+def payload(text: str | None) -> tuple:
+    import zlib
+
+    raw = (text or "").encode()
+    body = raw + bytes(-len(raw) % 64 if raw else 64)
+    return len(raw), len(body), sha(body), zlib.crc32(body[-64:])
