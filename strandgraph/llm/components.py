@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import stored
+from .shared import few, stored
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -25,13 +25,15 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """node, root (smallest node of the component) for all nodes of edges (a, b); loops are left out."""
     now = stored(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     before = _state(now)
+    small = lambda df: stored(few(df, before[0]))
+    now = few(now, before[0])
     for _ in range(rounds if before[0] else 0):
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = stored(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
-        large = stored(now.select(F.col("v").alias("u"), F.col("u").alias("v")).join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
-        least = stored(large.groupBy("u").agg(F.min("v").alias("m")))
-        small = large.join(least, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
-        now = stored(small.select("e.u", "e.v").where("u <> v").distinct())
+        least = small(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
+        large = small(now.select(F.col("v").alias("u"), F.col("u").alias("v")).join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
+        least = small(large.groupBy("u").agg(F.min("v").alias("m")))
+        pointed = large.join(least, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
+        now = small(pointed.select("e.u", "e.v").where("u <> v").distinct())
         after = _state(now)
         if after == before:
             break

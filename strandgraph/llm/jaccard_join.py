@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .kernels import U64, Polynomial, Powers, Words, expand, flat, mix, pieces
-from .shared import back_to_id, partitions, row_id, stored
+from .shared import back_to_id, few, partitions, row_id, stored
 
 #: Rows of a block, and columns multiplied at once.
 BLOCK, COLUMNS = 96, 4096
@@ -282,40 +282,43 @@ def similar_documents(df: DataFrame, text: str = "text", doc_id: str = "doc_id",
     keys = texts.select("text").mapInArrow(_parts(n, percent), "key long, s long, n long")
     by_key = keys.repartition(partitions(df.sparkSession), "key").sortWithinPartitions("key", "s")
     stars = stored(by_key.mapInArrow(_stars(percent), "c long, s long").distinct())
+    least = stored(rows.where("n > 0").groupBy("s").agg(F.min("d").alias("least")))
     found = None
-    if stars.head(1):
-        nodes = stars.select("s").unionByName(stars.select(F.col("c").alias("s"))).distinct()
-        chosen = rows.join(nodes, "s", "left_semi").groupBy("s").agg(F.min("d").alias("d")).select("d").distinct()
-        grams = stored(texts.join(chosen, "d", "left_semi").select("text").mapInArrow(_grams(n), "s long, grams binary").groupBy("s").agg(F.first("grams").alias("grams")))
+    if n_stars := stars.count():
+        small = lambda x: stored(few(x, n_stars))
+        stars = few(stars, n_stars)
+        nodes = small(stars.select("s").unionByName(stars.select(F.col("c").alias("s"))).distinct())
+        chosen = least.join(nodes, "s").select(F.col("least").alias("d")).distinct()
+        grams = stored(few(texts.join(chosen, "d", "left_semi").select("text").mapInArrow(_grams(n), "s long, grams binary").groupBy("s").agg(F.first("grams").alias("grams")), 100 * n_stars))
 
         # Stars, in blocks: the centre is in each block of its star.
-        blocks = stored(stars.groupBy("c").agg(F.ceil(F.count("*") / F.lit(block)).alias("blocks")))
+        blocks = small(stars.groupBy("c").agg(F.ceil(F.count("*") / F.lit(block)).alias("blocks")))
         placed = stars.join(blocks, "c").withColumn("g", F.xxhash64("c", F.pmod(F.xxhash64("s"), F.col("blocks"))))
         centres = blocks.select("c", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("k")).select(F.xxhash64("c", "k").alias("g"), F.col("c").alias("s"))
         meet = placed.select("g", "s").unionByName(centres).select("g", F.lit(0).alias("side"), "s", F.col("s").alias("comp"))
         links = _links(meet, grams, percent)
-        joined = stored(components(links))
+        joined = small(components(links))
 
         # Families with several components: rows outside the largest meet all.
         family = components(stars.select(F.col("c").alias("a"), F.col("s").alias("b"))).select(F.col("node").alias("s"), F.col("root").alias("family"))
-        family = stored(family.join(joined.withColumnRenamed("node", "s"), "s", "left").select("s", "family", F.coalesce("root", "s").alias("comp")))
+        family = small(family.join(joined.withColumnRenamed("node", "s"), "s", "left").select("s", "family", F.coalesce("root", "s").alias("comp")))
         counts = family.groupBy("family", "comp").agg(F.count("*").alias("rows"))
         sizes = counts.groupBy("family").agg(F.sum("rows").alias("all"), F.max(F.struct("rows", "comp")).alias("top")).where(F.col("all") > F.col("top.rows"))
-        sizes = stored(sizes.select("family", F.col("top.comp").alias("top"), F.ceil((F.col("all") - F.col("top.rows")) / block).alias("outer"), F.ceil(F.col("all") / block).alias("every")))
+        sizes = small(sizes.select("family", F.col("top.comp").alias("top"), F.ceil((F.col("all") - F.col("top.rows")) / block).alias("outer"), F.ceil(F.col("all") / block).alias("every")))
         open_rows = family.join(sizes, "family")
         aside = open_rows.where("comp <> top").select("family", "s", "comp", F.pmod(F.xxhash64("s"), F.col("outer")).alias("i"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("every") - 1)).alias("j"), F.lit(0).alias("side"))
         every = open_rows.select("family", "s", "comp", F.explode(F.sequence(F.lit(0).cast("long"), F.col("outer") - 1)).alias("i"), F.pmod(F.xxhash64("s", F.lit(1)), F.col("every")).alias("j"), F.lit(1).alias("side"))
         meet = aside.unionByName(every).select(F.xxhash64("family", "i", "j").alias("g"), "side", "s", "comp")
         more = _links(meet, grams, percent)
-        found = components(links.unionByName(more)).withColumnRenamed("node", "s")
+        found = joined if more.isEmpty() else components(links.unionByName(more))
+        found = found.withColumnRenamed("node", "s")
 
     # Names of components: the smallest id of any of their documents.
-    least = rows.where("n > 0").groupBy("s").agg(F.min("d").alias("least"))
     if found is not None:
         roots = stored(least.join(found, "s", "left").withColumn("root", F.coalesce("root", "s")))
         ids = stored(roots.groupBy("root").agg(F.min("least").alias("component")))
-        least = roots.join(ids, "root").select("s", F.col("component").alias("least"))
-    named = rows.join(stored(least), "s", "left")
+        least = stored(roots.join(ids, "root").select("s", F.col("component").alias("least")))
+    named = rows.join(least, "s", "left")
     component = F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("d"))
     return named.withColumn("component", component).select(back_to_id("d").alias("doc_id"), F.col("n").alias("n_shingles"), back_to_id("component").alias("component_id"))
 

@@ -23,6 +23,11 @@ def stored(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def few(df: DataFrame, rows: int) -> DataFrame:
+    """``df`` in as many partitions as so many narrow rows need, so that small steps write few files."""
+    return df.coalesce(max(8, rows // 100_000))
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The session's own part of the checkpoint folder, set up if need be."""
     context = spark.sparkContext
