@@ -26,15 +26,21 @@ def edge_patterns(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return end_labels(slim, nodes).groupBy("src_labels", "rel_type", "dst_labels", "keys").agg(F.count("*").alias("n"))
 
 
+def split_counts(counts: DataFrame, key: list[str]) -> DataFrame:
+    """key..., n, mandatory, optional from counts (key..., k, n), where k = '' counts the whole type.
+
+    One aggregation, no join: a type's few keys meet in one row and are split there.
+    """
+    whole = F.max(F.when(F.col("k") == "", F.col("n")))
+    rows = counts.groupBy(*key).agg(whole.alias("n"), F.collect_list(F.when(F.col("k") != "", F.struct("k", F.col("n").alias("c")))).alias("ks"))
+    chosen = lambda test: F.array_sort(F.transform(F.filter("ks", test), lambda x: x["k"]))
+    return rows.select(*key, "n", chosen(lambda x: x["c"] == F.col("n")).alias("mandatory"), chosen(lambda x: x["c"] < F.col("n")).alias("optional"))
+
+
 def _types(patterns: DataFrame, key: list[str]) -> DataFrame:
     """key..., n, mandatory, optional: a key is mandatory if all of a type have it."""
-    total = patterns.groupBy(*key).agg(F.sum("n").alias("n"))
-    by_key = patterns.select(*key, "n", F.explode("keys").alias("k")).groupBy(*key, "k").agg(F.sum("n").alias("with_key"))
-    both = by_key.join(total, key)
-    split = both.groupBy(*key).agg(F.collect_list(F.when(F.col("with_key") == F.col("n"), F.col("k"))).alias("m"), F.collect_list(F.when(F.col("with_key") < F.col("n"), F.col("k"))).alias("o"))
-    none = F.array().cast("array<string>")
-    names = lambda c: F.coalesce(F.array_sort(c), none)
-    return total.join(split, key, "left").select(*key, "n", names("m").alias("mandatory"), names("o").alias("optional"))
+    by_key = patterns.select(*key, "n", F.explode(F.concat(F.array(F.lit("")), "keys")).alias("k")).groupBy(*key, "k").agg(F.sum("n").alias("n"))
+    return split_counts(by_key, key)
 
 
 def node_types(nodes: DataFrame) -> DataFrame:

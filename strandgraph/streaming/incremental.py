@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..model import present
+from ..operators.abstraction import split_counts
 
 COUNTS = "labels array<string>, key string, n long"
 
@@ -32,11 +33,7 @@ def merge(*parts: DataFrame) -> DataFrame:
 
 def types(state: DataFrame) -> DataFrame:
     """labels, n, mandatory, optional from counts."""
-    total = state.where("key = ''").select("labels", F.col("n").alias("total"))
-    keys = state.where("key <> ''").join(total, "labels")
-    split = keys.groupBy("labels").agg(F.array_sort(F.collect_list(F.when(F.col("n") == F.col("total"), F.col("key")))).alias("m"), F.array_sort(F.collect_list(F.when(F.col("n") < F.col("total"), F.col("key")))).alias("o"))
-    none = F.array().cast("array<string>")
-    return total.join(split, "labels", "left").select("labels", F.col("total").alias("n"), F.coalesce("m", none).alias("mandatory"), F.coalesce("o", none).alias("optional"))
+    return split_counts(state.withColumnRenamed("key", "k"), ["labels"])
 
 
 def by_page(nodes: DataFrame) -> DataFrame:
