@@ -37,7 +37,7 @@ from pyspark.sql import types as T
 from .kernels import U64, Polynomial, Powers, Words, byte_values, expand, flat, mix, pieces
 
 PER_LANGUAGE, LONGEST, EPOCHS, SEED = 300, 20_000, 4, 5
-PIECE, SEGMENT = 1 << 20, 48
+PIECE, SEGMENT = 1 << 18, 48
 #: Sizes, in bits, of the tables of n-grams of 2 and 3 bytes, prefixes, suffixes and words.
 BITS = {"two": 16, "three": 17, "prefix": 16, "suffix": 16, "lexicon": 17}
 NONE = "und"
