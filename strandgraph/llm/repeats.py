@@ -6,11 +6,14 @@ by a prefix that equal windows must share: the smallest hash of the runs of k
 symbols within a window.  Neighbouring windows mostly have the same one; each
 stretch of them is one *slice* of text, and only its numbers are shuffled.
 
+0.  common keys: those that a sample of documents has often.  Their windows get the
+    longest prefix, all W symbols, as key from the start, so that no task meets all
+    slices of a common passage; which keys these are changes no result.
 1.  anchors: (key, hash of the slice, document, position) of every slice.  A batch
     sends one slice of each content on; the batch's later ones are found already.
 2.  by key: later slices of equal content are found; if a key has slices of several
     contents, the first of each is asked for its text.  A key with over ``most``
-    contents is *hot*: its windows get the longest prefix, all W symbols, as key.
+    contents is *hot*, too: its windows get the longest prefix.
 3.  by document: the texts of the slices asked for.  Windows of hot keys go as
     hashes, a batch sending one of each on.
 4.  by key: memory-sized groups, handed to the operator's own method (subtrees or
@@ -28,6 +31,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,6 +40,8 @@ from .shared import partitions, row_id
 
 #: Contents of one key that are compared in one group.
 MOST = 512
+#: One document in so many is looked at for common keys; how often those come there at least; how many are told to tasks.
+SAMPLE, OFTEN, TOLD = 64, 8, 100_000
 #: Longest stretch of windows in one slice.
 LONGEST = 1 << 20
 #: Kinds of rows: a stretch found; a slice, or one that can repeat within itself; a hot slice or window.
@@ -153,9 +159,39 @@ def _spread(d: np.ndarray, start: np.ndarray) -> np.ndarray:
     return mix(d.view(U64) ^ mix(start.astype(np.int64).view(U64) + U64(1)))
 
 
-def _anchors(rule: Rule) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _keys(rule: Rule) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Each document's keys, once."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables = Powers()
+        for batch in batches:
+            data, offsets = flat(batch.column(0))
+            for i, j in pieces(offsets):
+                symbols = Symbols(rule, data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], tables)
+                key, start, _, _ = _slices(rule, symbols)
+                pairs = np.unique(np.stack([np.searchsorted(symbols.offsets, start, "right").astype(U64), key]), axis=1)
+                yield pa.RecordBatch.from_arrays([pa.array(pairs[1].view(np.int64))], ["key"])
+
+    return run
+
+
+def common_keys(rows: DataFrame, rule: Rule, text: str) -> np.ndarray:
+    """At most TOLD keys that the sampled documents have most often, sorted."""
+    sample = rows.where(F.pmod(F.xxhash64("d", "t"), F.lit(SAMPLE)) == 0).select(text)
+    counts = sample.mapInArrow(_keys(rule), "key long").groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") >= OFTEN)
+    found = counts.orderBy(F.desc("n"), "key").limit(TOLD).toPandas()["key"]
+    return np.sort(np.asarray(found, dtype=np.int64).view(U64))
+
+
+def _is_in(values: np.ndarray, known: np.ndarray) -> np.ndarray:
+    if not len(known):
+        return np.zeros(len(values), bool)
+    return known[np.minimum(np.searchsorted(known, values), len(known) - 1)] == values
+
+
+def _anchors(rule: Rule, shared: Broadcast) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tables, common = Powers(), shared.value
         for batch in batches:
             ids, marks = np.asarray(batch.column(0)), np.asarray(batch.column(1))
             data, offsets = flat(batch.column(2))
@@ -165,8 +201,18 @@ def _anchors(rule: Rule) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Rec
                     continue
                 symbols = Symbols(rule, data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], tables)
                 key, start, end, kind = _slices(rule, symbols)
+                content = symbols.poly.spans(start, end)
+                often = _is_in(key, common)
+                if often.any():  # their windows, one by one
+                    many = (end - start)[often] - rule.window + 1
+                    at = expand(start[often], many)
+                    own = np.repeat(key[often], many)
+                    rest = ~often
+                    key = np.r_[key[rest], mix(own ^ symbols.poly.spans(at, at + rule.window))]
+                    content = np.r_[content[rest], np.zeros(len(at), U64)]
+                    start, end, kind = np.r_[start[rest], at], np.r_[end[rest], at + rule.window], np.r_[kind[rest], np.full(len(at), ASKED)]
                 doc = np.searchsorted(symbols.offsets, start, "right") - 1
-                parts.append((key, symbols.poly.spans(start, end), ids[i:j][doc], marks[i:j][doc], start - symbols.offsets[doc], end - start, kind))
+                parts.append((key, content, ids[i:j][doc], marks[i:j][doc], start - symbols.offsets[doc], end - start, kind))
             if not parts:
                 continue
             key, content, d, t, start, n, kind = (np.concatenate(x) for x in zip(*parts, strict=True))
@@ -370,7 +416,8 @@ def repeated_stretches(rows: DataFrame, rule: Rule, method: Method, text: str =
     """
     n = partitions(rows.sparkSession)
     own = rows.select("d", "t", text)
-    sent = own.mapInArrow(_anchors(rule), SENT)
+    shared = rows.sparkSession.sparkContext.broadcast(common_keys(rows, rule, text))
+    sent = own.mapInArrow(_anchors(rule, shared), SENT)
     by_key = sent.repartition(n, "key").sortWithinPartitions("key", "content", "d", "t", "place")
     asked = by_key.mapInArrow(_by_content(rule, most), "key long, d long, t long, place long")
     lists = asked.groupBy("d", "t").agg(F.collect_list(F.struct("place", "key")).alias("asked"))

@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from strandgraph.llm import repeats
 from strandgraph.llm.jaccard_join import one_of_each, similar_documents
 from strandgraph.llm.language_id import held_out, label, train
 from strandgraph.llm.license_scan import scan_licenses
@@ -52,6 +53,16 @@ def test_substring_dedup(odd, empty):
     assert dedup_substrings(empty).count() == 0
 
 
+def test_common_keys_change_nothing(odd, monkeypatch):
+    """With every document sampled and every key common, all goes by windows."""
+    monkeypatch.setattr(repeats, "SAMPLE", 1)
+    monkeypatch.setattr(repeats, "OFTEN", 1)
+    rows = got(dedup_substrings(odd, window=6, gram=2).withColumn("h", F.sha2("text", 256)), "doc_id", "n_words", "n_removed", "h")
+    assert rows == sorted(brute.substrings(pairs(), 6))
+    rows = got(dedup_suffixes(odd, window=12, gram=4).withColumn("h", F.sha2("kept", 256)), "doc_id", "n_bytes", "n_removed", "n_spans", "h")
+    assert {r[0]: r for r in rows} == {r[0]: r for r in brute.suffixes(sorted(set(pairs()), key=str), 12)}
+
+
 def test_suffix_dedup(odd, empty):
     # Equal rows are one document.
     want = {}
