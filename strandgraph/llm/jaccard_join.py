@@ -11,7 +11,8 @@ Which rows meet in a block:
 2.  Two sets of similarity t differ in at most (|x| + |y|)(1 - t)/(1 + t) elements.
     Split into one part more than that, by the elements' hashes, they agree in a
     part.  So rows with an equal part, and only those, are candidates; numbers of
-    parts follow size classes, of which a set takes part in two.  None is lost.
+    parts follow size classes, of which a set takes part in two.  Empty parts do not
+    count (``part_keys`` tells how that loses nothing).
 3.  Each row meets the first row of its part (a star); linked rows are joined to
     components.
 4.  Rows joined by candidate pairs are a family.  If a family has more than one
@@ -41,6 +42,10 @@ from .shared import back_to_id, few, partitions, row_id, stored
 
 #: Rows of a block, and columns multiplied at once.
 BLOCK, COLUMNS = 96, 4096
+#: Ways to deal elements to parts, for sets that leave too many parts empty.
+DEALINGS = 4
+#: Most rows (an id each) sent to every task in place of a shuffle of all texts.
+BROADCAST_ROWS = 1 << 20
 
 
 def size_classes(percent: int, largest: int) -> np.ndarray:
@@ -48,7 +53,8 @@ def size_classes(percent: int, largest: int) -> np.ndarray:
     first = [1]
     while first[-1] <= largest:
         first.append(first[-1] * 100 // percent + 1)
-    first.append(first[-1] * 100 // percent + 1)
+    for _ in range(2):
+        first.append(first[-1] * 100 // percent + 1)
     return np.asarray(first, np.int64)
 
 
@@ -91,30 +97,54 @@ def _names(n: int):
     return run
 
 
+def spare_parts(differ: int, smallest: int) -> int:
+    """Parts beyond ``differ + 1`` that make up for those a set of the smallest size leaves empty, by and large."""
+    for spare in range(2 * differ + 8):
+        parts = differ + 1 + spare
+        empty = parts * np.exp(-smallest / parts)
+        if empty + 2.5 * np.sqrt(empty) <= spare or empty < 1e-3:
+            return spare
+    return 2
+
+
 def part_keys(sets: Sets, rows: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Keys of the parts of the chosen rows' sets, and the row of each."""
+    """Keys of the parts of the chosen rows' sets, and the row of each.
+
+    Empty parts would make strangers meet, so they have no key.  With some spare
+    parts, similar sets still agree in a part with elements unless both leave more
+    parts empty than there are spare ones; such sets get keys by another dealing of
+    the elements, too, and at the last dealing by their empty parts as well.
+    """
     first = size_classes(percent, int(sets.sizes.max(initial=1)))
     own = np.searchsorted(first, sets.sizes, "right") - 1
+    differ_of = 2 * (first[1:] - 1) * (100 - percent) // (100 + percent)  # by class, for it and the one below
+    spare_of = np.asarray([spare_parts(int(d), int(first[max(c - 1, 0)])) for c, d in enumerate(differ_of)])
     chosen = np.zeros(len(sets.sizes), bool)
     chosen[rows] = True
     keys, of = [], []
     for up in (0, 1):
         level = own + up
-        differ = 2 * (first[level + 1] - 1) * (100 - percent) // (100 + percent)
-        use = chosen & (sets.sizes > 0) & (differ > 0)  # else only equal sets are similar
-        parts = np.where(use, differ + 1, 0)
-        start = np.cumsum(parts) - parts
-        mine = use[sets.doc]
-        doc, value = sets.doc[mine], sets.value[mine]
-        mixed = mix(value + level[doc].astype(U64) * U64(0xA0761D6478BD642F))
-        slot = start[doc] + ((mixed >> U64(32)) * parts[doc].astype(U64) >> U64(32)).astype(np.int64)
-        total = np.zeros(int(parts.sum()), U64)
-        np.add.at(total, slot, mix(mixed))
-        owner = np.repeat(np.arange(len(parts)), parts)
-        number = np.arange(len(total)) - start[owner]
-        keys.append(mix(total + mix((level[owner].astype(U64) << U64(40)) + number.astype(U64))))
-        of.append(owner)
-    return np.concatenate(keys), np.concatenate(of)
+        use = chosen & (sets.sizes > 0) & (differ_of[level] > 0)  # else only equal sets are similar
+        for dealing in range(DEALINGS):
+            if not use.any():
+                break
+            parts = np.where(use, differ_of[level] + 1 + spare_of[level], 0)
+            start = np.cumsum(parts) - parts
+            mine = use[sets.doc]
+            doc, value = sets.doc[mine], sets.value[mine]
+            mixed = mix(value + (level[doc] * DEALINGS + dealing).astype(U64) * U64(0xA0761D6478BD642F))
+            slot = start[doc] + ((mixed >> U64(32)) * parts[doc].astype(U64) >> U64(32)).astype(np.int64)
+            total = np.zeros(int(parts.sum()), U64)
+            np.add.at(total, slot, mix(mixed))
+            full = np.bincount(slot, minlength=len(total)) > 0
+            owner = np.repeat(np.arange(len(parts)), parts)
+            empty = parts - np.bincount(owner[full], minlength=len(parts))
+            use = use & (empty > spare_of[level])
+            sent = np.flatnonzero(full | use[owner]) if dealing == DEALINGS - 1 else np.flatnonzero(full)
+            number = sent - start[owner[sent]]
+            keys.append(mix(total[sent] + mix(((level[owner[sent]] * DEALINGS + dealing).astype(U64) << U64(40)) + number.astype(U64))))
+            of.append(owner[sent])
+    return (np.concatenate(keys), np.concatenate(of)) if keys else (np.zeros(0, U64), np.zeros(0, np.int64))
 
 
 def _parts(n: int, percent: int):
@@ -274,6 +304,11 @@ def _links(rows: DataFrame, grams: DataFrame, percent: int) -> DataFrame:
     return stored(ordered.mapInArrow(_product(percent), "a long, b long"))
 
 
+def _bounded(ids: DataFrame) -> DataFrame:
+    """Stored ids, to be sent to every task if they are few enough."""
+    return F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids
+
+
 def similar_documents(df: DataFrame, text: str = "text", doc_id: str = "doc_id", n: int = 3, percent: int = 90, block: int = BLOCK) -> DataFrame:
     """doc_id, n_shingles, component_id: a row a document."""
     texts = df.select(row_id(doc_id).alias("d"), F.col(text).cast("string").alias("text"))
@@ -288,7 +323,7 @@ def similar_documents(df: DataFrame, text: str = "text", doc_id: str = "doc_id",
         small = lambda x: stored(few(x, n_stars))
         stars = few(stars, n_stars)
         nodes = small(stars.select("s").unionByName(stars.select(F.col("c").alias("s"))).distinct())
-        chosen = least.join(nodes, "s").select(F.col("least").alias("d")).distinct()
+        chosen = _bounded(stored(few(least.join(nodes, "s").select(F.col("least").alias("d")).distinct(), n_stars)))
         grams = stored(few(texts.join(chosen, "d", "left_semi").select("text").mapInArrow(_grams(n), "s long, grams binary").groupBy("s").agg(F.first("grams").alias("grams")), 100 * n_stars))
 
         # Stars, in blocks: the centre is in each block of its star.
@@ -326,8 +361,8 @@ def similar_documents(df: DataFrame, text: str = "text", doc_id: str = "doc_id",
 def one_of_each(df: DataFrame, text: str = "text", doc_id: str = "doc_id", n: int = 3, percent: int = 90) -> DataFrame:
     """``df`` with one document of each group of linked ones: that of the smallest id."""
     groups = similar_documents(df, text, doc_id, n, percent)
-    kept = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(row_id("doc_id").alias("_row")).distinct()
+    gone = _bounded(stored(groups.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(row_id("doc_id").alias("_row")).distinct()))
     rows = df.withColumn("_row", row_id(doc_id))
     if rows.groupBy("_row").count().where("count > 1").head(1):  # equal rows once
         rows = rows.withColumn("_text", F.xxhash64(F.coalesce(F.col(text), F.lit("")))).dropDuplicates(["_row", "_text"])
-    return rows.join(kept, "_row", "left_semi").select(*df.columns)
+    return rows.join(gone, "_row", "left_anti").select(*df.columns)

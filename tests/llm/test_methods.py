@@ -197,3 +197,36 @@ def test_held_out_accuracy(spark, medium):
     right, n = rows.agg(F.sum((F.col("lang") == F.col("lang_pred")).cast("int")), F.count("*")).head()
     assert n > 200 and right / n > 0.97
     assert {r["held_out"] for r in op4_language_id(spark, medium).where("doc_id < 50").select("doc_id", "held_out").collect() if zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2} <= {True}
+
+
+@pytest.mark.parametrize("percent", [60, 80, 90])
+def test_similar_sets_share_a_part(percent):
+    """No pair of similar sets is lost, of any size, also where parts stay empty."""
+    from types import SimpleNamespace
+
+    from strandgraph.llm.jaccard_join import part_keys
+
+    rng = np.random.default_rng(percent)
+    values, sizes, pairs = [], [], []
+    for n in [*range(2, 40), 57, 100, 333, 1000] * 6:
+        base = rng.integers(0, 2**63, n, dtype=np.uint64)
+        shared = int(np.ceil(n * percent / 100))
+        drop = int(rng.integers(0, n - shared + 1))
+        other = base[: n - drop]
+        extra = max(0, int((n - drop) * 100 // percent) - n)
+        other = np.r_[other, rng.integers(0, 2**63, int(rng.integers(0, extra + 1)), dtype=np.uint64)]
+        both = len(np.intersect1d(base, other))
+        if 100 * both >= percent * (len(base) + len(other) - both) and len(base) != both:
+            pairs.append((len(sizes), len(sizes) + 1))
+        for s in (base, other):
+            values.append(np.sort(s))
+            sizes.append(len(s))
+    doc = np.repeat(np.arange(len(sizes)), sizes)
+    sets = SimpleNamespace(doc=doc, value=np.concatenate(values), sizes=np.asarray(sizes))
+    keys, of = part_keys(sets, np.arange(len(sizes)), percent)
+    own = [set() for _ in sizes]
+    for k, o in zip(keys.tolist(), of.tolist(), strict=True):
+        own[o].add(k)
+    assert len(pairs) > 30 and all(own[a] & own[b] for a, b in pairs)
+    strangers = sum(bool(own[a] & own[b]) for a in range(0, 200, 2) for b in range(a + 2, 200, 2))
+    assert strangers <= {60: 5000, 80: 300, 90: 2}[percent], strangers
