@@ -48,8 +48,9 @@ def edge_names(types: DataFrame) -> DataFrame:
 
 
 def edge_ddl(types: DataFrame) -> DataFrame:
-    """An edge type line for each relationship type."""
-    t = edge_names(types).dropDuplicates(["type_name"])
+    """An edge type line for each relationship type: that of its first ends, by name."""
+    first = F.row_number().over(Window.partitionBy("type_name").orderBy(F.array_join("src_labels", ":"), F.array_join("dst_labels", ":"), F.array_join("mandatory", ",")))
+    t = edge_names(types).withColumn("_first", first).where("_first = 1")
     line = F.concat(F.lit("CREATE EDGE TYPE "), F.col("type_name"), F.lit(" : "), F.col("rel_type"), F.lit(" {"), property_list(F.col("mandatory"), F.col("optional"), F.col("types")), F.lit("};"))
     return t.select("type_name", line.alias("line"))
 
@@ -177,10 +178,11 @@ def read_schemas(texts: DataFrame) -> DataFrame:
     tid = F.array_join("labels", ":")
     n = kept.groupBy("schema_id").agg(F.array_sort(F.collect_list(F.struct(tid.alias("type_id"), "labels", "mandatory", "optional"))).alias("nodes"))
     names = alone.select("schema_id", F.col("type_name").alias("name"), tid.alias("type_id")).distinct()
-    placed = joins.join(edges.withColumnRenamed("type_name", "edge_name"), ["schema_id", "edge_name"]).select("schema_id", "mandatory", "optional", F.explode("rel_types").alias("rel_type"), "src", "dst")
+    placed = joins.join(edges.withColumnRenamed("type_name", "edge_name"), ["schema_id", "edge_name"]).select("schema_id", "edge_name", "mandatory", "optional", F.explode("rel_types").alias("rel_type"), "src", "dst")
     placed = placed.select("*", F.explode("src").alias("s")).select("*", F.explode("dst").alias("d"))
     end = lambda c: names.select("schema_id", F.col("name").alias(c), F.col("type_id").alias(f"{c}_type"))
-    placed = placed.join(end("s"), ["schema_id", "s"]).join(end("d"), ["schema_id", "d"]).dropDuplicates(["schema_id", "rel_type", "s_type", "d_type"])
+    once = F.row_number().over(Window.partitionBy("schema_id", "rel_type", "s_type", "d_type").orderBy("edge_name", "s", "d"))
+    placed = placed.join(end("s"), ["schema_id", "s"]).join(end("d"), ["schema_id", "d"]).withColumn("_once", once).where("_once = 1")
     edge = F.struct(F.concat_ws("|", "s_type", "rel_type", "d_type").alias("edge_id"), "rel_type", "mandatory", "optional", F.col("s_type").alias("src_type"), F.col("d_type").alias("dst_type"), F.lit(False).alias("card_error"))
     e = placed.groupBy("schema_id").agg(F.array_sort(F.collect_list(edge)).alias("edges"))
     return n.join(e, "schema_id", "left").select("schema_id", F.col("nodes").cast(f"array<{NODE}>").alias("nodes"), F.coalesce(F.col("edges").cast(f"array<{EDGE}>"), F.array().cast(f"array<{EDGE}>")).alias("edges"))
