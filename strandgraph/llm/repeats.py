@@ -42,6 +42,8 @@ from .shared import partitions, row_id
 MOST = 512
 #: One document in so many is looked at for common keys; how often those come there at least; how many are told to tasks.
 SAMPLE, OFTEN, TOLD = 64, 8, 100_000
+#: Slices a batch sorts at once.
+SORTED = 1 << 17
 #: Longest stretch of windows in one slice.
 LONGEST = 1 << 20
 #: Kinds of rows: a stretch found; a slice, or one that can repeat within itself; a hot slice or window.
@@ -189,6 +191,20 @@ def _is_in(values: np.ndarray, known: np.ndarray) -> np.ndarray:
     return known[np.minimum(np.searchsorted(known, values), len(known) - 1)] == values
 
 
+def _collapsed(rule: Rule, parts: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
+    """One slice of each content, and the stretches of the others."""
+    if not parts:
+        return
+    key, content, d, t, start, n, kind = (np.concatenate(x) for x in zip(*parts, strict=True))
+    order = np.lexsort((start, t, d, content, key))
+    key, content, d, t, start, n, kind = (x[order] for x in (key, content, d, t, start, n, kind))
+    new = np.r_[True, (key[1:] != key[:-1]) | (content[1:] != content[:-1])] if len(key) else np.zeros(0, bool)
+    found, keep = _later(rule, new, d, t, start)
+    yield _rows(key[keep], content[keep], d[keep], t[keep], pack_place(start[keep], n[keep], kind[keep]))
+    fd, ft, fs, fn = _found_spans(d[found], t[found], start[found], n[found])
+    yield _rows(_spread(fd, fs), np.zeros(len(fd), np.int64), fd, ft, pack_place(fs, fn, FOUND))
+
+
 def _anchors(rule: Rule, shared: Broadcast) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables, common = Powers(), shared.value
@@ -213,16 +229,10 @@ def _anchors(rule: Rule, shared: Broadcast) -> Callable[[Iterator[pa.RecordBatch
                     start, end, kind = np.r_[start[rest], at], np.r_[end[rest], at + rule.window], np.r_[kind[rest], np.full(len(at), ASKED)]
                 doc = np.searchsorted(symbols.offsets, start, "right") - 1
                 parts.append((key, content, ids[i:j][doc], marks[i:j][doc], start - symbols.offsets[doc], end - start, kind))
-            if not parts:
-                continue
-            key, content, d, t, start, n, kind = (np.concatenate(x) for x in zip(*parts, strict=True))
-            order = np.lexsort((start, t, d, content, key))
-            key, content, d, t, start, n, kind = (x[order] for x in (key, content, d, t, start, n, kind))
-            new = np.r_[True, (key[1:] != key[:-1]) | (content[1:] != content[:-1])] if len(key) else np.zeros(0, bool)
-            found, keep = _later(rule, new, d, t, start)
-            yield _rows(key[keep], content[keep], d[keep], t[keep], pack_place(start[keep], n[keep], kind[keep]))
-            fd, ft, fs, fn = _found_spans(d[found], t[found], start[found], n[found])
-            yield _rows(_spread(fd, fs), np.zeros(len(fd), np.int64), fd, ft, pack_place(fs, fn, FOUND))
+                if sum(len(p[0]) for p in parts) >= SORTED:
+                    yield from _collapsed(rule, parts)
+                    parts = []
+            yield from _collapsed(rule, parts)
 
     return run
 
