@@ -267,11 +267,21 @@ EID = "rel || '|' || array_to_string(keys, ',') || '|' || array_to_string(sl, ':
 @query(graph(f"""SELECT a.t AS a, b.t AS b, round(({_wj("label", "a.sl", "b.sl")} + {_wj("prop", "a.sk", "b.sk")} + {_wj("label", "a.dl", "b.dl")} + {_wj("prop", "a.dk", "b.dk")}) / 4, 6) AS similarity
 FROM es AS a JOIN es AS b ON a.rel = b.rel AND a.t < b.t""", extra=SIGS + f", es AS (SELECT *, {EID} AS t FROM se WHERE rel <> 'HAS_LINE')"))
 def edge_topology_similarity(spark, d):
+    """Without HAS_LINE, as its SQL has it; ``edge_topology_similarity_whole`` takes all edge types."""
+    return _edge_topology(spark, d, F.col("rel_type") != "HAS_LINE")
+
+
+def _edge_topology(spark, d, taken: Column):
     n, e = nodes(spark, d), edges(spark, d)
     t = ab.structural_edge_types(e, n)
     frequency = ab.attribute_frequency(ab.structural_node_types(n, e), t)
     tid = F.concat_ws("|", "rel_type", joined(F.col("keys")), joined(F.col("src_labels"), ":"), joined(F.col("src_keys")), joined(F.col("dst_labels"), ":"), joined(F.col("dst_keys")))
-    return di.edge_topology_similarities(t.where("rel_type <> 'HAS_LINE'").withColumn("type_id", tid), frequency).select("a", "b", r6("similarity").alias("similarity"))
+    return di.edge_topology_similarities(t.where(taken).withColumn("type_id", tid), frequency).select("a", "b", r6("similarity").alias("similarity"))
+
+
+@query()
+def edge_topology_similarity_whole(spark, d):
+    return _edge_topology(spark, d, F.lit(True))
 
 
 PAIRS = "SELECT a.labels AS x, b.labels AS y FROM nt AS a JOIN nt AS b ON array_to_string(a.labels, chr(1)) < array_to_string(b.labels, chr(1)) AND list_has_any(a.labels, b.labels)"
