@@ -42,6 +42,11 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return one_of_each(docs, n=3, percent=90)
 
 
+def close_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group linked by a Jaccard similarity of 0.8 of 5-word shingles."""
+    return one_of_each(docs, n=5, percent=80)
+
+
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix of sources takes it."""
     return mixed_documents(docs)
@@ -61,13 +66,21 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
 ]
 
 
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+#: The same with the wider near-duplicate stage, which also takes short and lightly edited copies.
+CLOSE_STAGES = [(name, close_duplicates if stage is near_duplicates else stage) for name, stage in STAGES]
+
+
+def run(spark: SparkSession, sf_dir: str, stages: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = STAGES) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
-    for name, stage in STAGES:
+    for name, stage in stages:
         docs = stage(spark, docs, sf_dir)
-        docs = docs if name == STAGES[-1][0] else written(docs)
+        docs = docs if name == stages[-1][0] else written(docs)
     return docs
 
 
+def run_close(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return run(spark, sf_dir, CLOSE_STAGES)
+
+
 #: A conditional random field, a tokenizer and bin packing are beyond SQL; tests compare a plain version.
 ORACLE_SQL = None
