@@ -172,36 +172,54 @@ def mixture_split(patterns: DataFrame, reference: str) -> DataFrame:
     return model.transform(made).drop("features", "w", "probability", "x")
 
 
-def mixture_tree(patterns: DataFrame, depth: int = 3) -> DataFrame:
-    """patterns with path: halves by mixtures, halved again while they differ, to a depth.
+def mixture_tree(patterns: DataFrame, depth: int | None = None) -> DataFrame:
+    """patterns with path: halves by mixtures, halved again until a split gives no two, or to a depth.
 
     The reference of a half is its most frequent pattern's word.  Patterns are
     type-level rows; each split is one fit over them.
     """
-    done: list[DataFrame] = []
-    work = [("", patterns.select("labels", "keys", "n").coalesce(1).cache())]  # type-level rows
+    spark, schema = patterns.sparkSession, "labels array<string>, keys array<string>, n long"
+    done: list[tuple] = []
+    work = [("", [tuple(r) for r in patterns.select("labels", "keys", "n").collect()])]  # type-level rows
     while work:
         path, rows = work.pop()
-        top = rows.orderBy(F.desc("n"), word(F.col("labels"), F.col("keys"))).head()
-        if top is None:
+        if not rows:
             continue
-        halves = None if len(path) >= depth else mixture_split(rows, " ".join([*top["labels"], *top["keys"]])).cache()
-        if halves is None or halves.select("half").distinct().count() < 2:
-            done.append(rows.withColumn("path", F.lit(path or "0")))
+        top = min(rows, key=lambda r: (-r[2], " ".join([*r[0], *r[1]])))
+        halves: dict[int, list[tuple]] = {}
+        if len(rows) > 1 and (depth is None or len(path) < depth):
+            made = mixture_split(spark.createDataFrame(rows, schema).coalesce(1), " ".join([*top[0], *top[1]]))
+            for r in made.select("labels", "keys", "n", "half").collect():
+                halves.setdefault(r["half"], []).append(tuple(r)[:3])
+        if len(halves) < 2:
+            done += [(*r, path or "0") for r in rows]
         else:
-            work += [(path + str(h), halves.where(F.col("half") == h).drop("half")) for h in (0, 1)]
-    out = done[0]
-    for d in done[1:]:
-        out = out.unionByName(d)
-    return out
+            work += [(path + str(h), halves[h]) for h in (0, 1)]
+    return spark.createDataFrame(done, f"{schema}, path string")
+
+
+def mixture_forest(patterns: DataFrame) -> DataFrame:
+    """patterns with base and path: a tree for each label set, of all patterns with its labels; unlabelled ones apart.
+
+    A pattern is a row of each tree it is in, and each tree is complete: the
+    reference leaves out of a tree the clusters that an earlier one has.
+    """
+    rows = patterns.select("labels", "keys", "n").cache()  # type-level rows
+    made: DataFrame | None = None
+    for labels in sorted(r["labels"] for r in rows.select("labels").distinct().collect()):
+        held = F.size("labels") == 0 if not labels else F.size(F.array_except(F.array(*map(F.lit, labels)), "labels")) == 0
+        tree = mixture_tree(rows.where(held)).withColumn("base", F.lit(":".join(labels)))
+        made = tree if made is None else made.unionByName(tree)
+    return made if made is not None else rows.select("*", F.lit("").alias("path"), F.lit("").alias("base"))
 
 
 def type_table(tree: DataFrame) -> DataFrame:
-    """id, labels, properties (? for optional), subtypeof, type, is_basetype: a row for every node of the tree."""
-    levels = tree.select("*", F.explode(F.sequence(F.lit(0), F.length("path"))).alias("d")).withColumn("at", F.expr("substring(path, 1, d)"))
-    n = levels.groupBy("at").agg(F.sum("n").alias("n"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("labels")))).alias("labels"))
-    keys = levels.select("at", "n", F.explode("keys").alias("k")).groupBy("at", "k").agg(F.sum("n").alias("c")).join(n.select("at", "n"), "at")
-    props = keys.groupBy("at").agg(F.array_join(F.array_sort(F.collect_list(F.concat("k", F.when(F.col("c") < F.col("n"), "?").otherwise("")))), ":").alias("properties"))
-    name = lambda p: F.concat(F.lit("T"), p)
+    """id, labels, properties (? for optional), subtypeof, type, is_basetype: a row for every node of the tree, or of each base's tree."""
+    based = "base" in tree.columns
+    levels = (tree if based else tree.withColumn("base", F.lit(""))).select("*", F.explode(F.sequence(F.lit(0), F.length("path"))).alias("d")).withColumn("at", F.expr("substring(path, 1, d)"))
+    n = levels.groupBy("base", "at").agg(F.sum("n").alias("n"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("labels")))).alias("labels"))
+    keys = levels.select("base", "at", "n", F.explode("keys").alias("k")).groupBy("base", "at", "k").agg(F.sum("n").alias("c")).join(n.select("base", "at", "n"), ["base", "at"])
+    props = keys.groupBy("base", "at").agg(F.array_join(F.array_sort(F.collect_list(F.concat("k", F.when(F.col("c") < F.col("n"), "?").otherwise("")))), ":").alias("properties"))
+    name = lambda p: F.concat(*([F.col("base"), F.lit("/")] if based else []), F.lit("T"), p)
     up = F.when(F.length("at") > 0, name(F.expr("substring(at, 1, length(at) - 1)")))
-    return n.join(props, "at", "left").select(name(F.col("at")).alias("id"), F.array_join("labels", ":").alias("labels"), F.coalesce("properties", F.lit("")).alias("properties"), up.alias("subtypeof"), F.lit("node").alias("type"), (F.length("at") == 0).alias("is_basetype"))
+    return n.join(props, ["base", "at"], "left").select(name(F.col("at")).alias("id"), F.array_join("labels", ":").alias("labels"), F.coalesce("properties", F.lit("")).alias("properties"), up.alias("subtypeof"), F.lit("node").alias("type"), (F.length("at") == 0).alias("is_basetype"))

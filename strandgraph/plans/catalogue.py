@@ -519,6 +519,16 @@ def gmm_type_table(spark, d):
     return cl.type_table(cl.mixture_tree(cl.sampled(_patterns(spark, d))))
 
 
+@query()
+def gmm_split_whole(spark, d):
+    return cl.mixture_forest(cl.sampled(_patterns(spark, d))).select("base", "path", *names("labels", by=":"), *names("keys"), "n")
+
+
+@query()
+def gmm_type_table_whole(spark, d):
+    return cl.type_table(cl.mixture_forest(cl.sampled(_patterns(spark, d))))
+
+
 @query(graph("SELECT array_to_string(labels, ':') AS labels, n AS members, array_to_string(mandatory, ',') AS mandatory, array_to_string(optional, ',') AS optional FROM nt", True))
 def merge_by_labels(spark, d):
     return di.merge_by_labels(cl.cluster_nodes(_patterns(spark, d), "LSH")).select(*names("labels", by=":"), "members", *names("mandatory", "optional"))

@@ -28,3 +28,32 @@ def test_close_duplicates(spark, small):
     kept = {r["doc_id"] for r in stage(spark, docs, small).select("doc_id").collect()}
     assert kept == {i for i, _, c in brute.jaccard([tuple(r) for r in docs.select("doc_id", "text").collect()], 5, 80) if i == c}
     assert -2 in kept and -1 not in kept
+
+
+def test_mixtures_of_each_label_set(spark):
+    from strandgraph.operators import clustering as cl
+
+    sets = [["A"], ["A", "B"], []]
+    rows = [(labels, [f"{'abcdef'[k] * (k + 2)}" for k in range(j + 1)], 10 + j) for labels in sets for j in range(5)]
+    patterns = spark.createDataFrame(rows, "labels array<string>, keys array<string>, n long")
+    forest = cl.mixture_forest(patterns)
+    found = {}
+    for r in forest.collect():
+        found.setdefault(r["base"], []).append((tuple(r["labels"]), tuple(r["keys"])))
+    for labels in sets:
+        want = {(tuple(x), tuple(k)) for x, k, _ in rows if (set(labels) <= set(x) if labels else not x)}
+        assert set(found[":".join(labels)]) == want and len(found[":".join(labels)]) == len(want)
+    table = cl.type_table(forest).collect()
+    assert {r["id"] for r in table if r["is_basetype"]} == {":".join(x) + "/T" for x in sets}
+    assert all(r["subtypeof"] in {t["id"] for t in table} for r in table if not r["is_basetype"])
+
+
+def test_mixtures_without_depth(spark, small):
+    rows = QUERIES["gmm_split_whole"](spark, small).collect()
+    counts = QUERIES["label_key_set_counts"](spark, small).collect()
+    spark.catalog.clearCache()
+    assert {r["base"] for r in rows} == {r["labels"] for r in counts}
+    for base in {r["base"] for r in rows}:
+        want = {(c["labels"], c["keys"]) for c in counts if (set(base.split(":")) <= set(c["labels"].split(":")) if base else not c["labels"])}
+        assert {(r["labels"], r["keys"]) for r in rows if r["base"] == base} == want
+    assert len({(r["base"], r["path"]) for r in rows}) > 8
