@@ -429,9 +429,15 @@ def schema_property_totals(spark, d):
 
 @query()
 def inject_sweep_summary(spark, d):
+    """Three levels and three trials, without cardinalities; ``inject_sweep_whole`` takes all."""
     return ij.sweep(schemas(spark, c.EXTENDING), *_types(spark, d), levels=(1, 3, 5), n=3)
 
 
+@query()
+def inject_sweep_whole(spark, d):
+    return ij.sweep(schemas(spark, c.EXTENDING), *_types(spark, d), Weights.with_cardinality(), cardinality=True)
+
+
 @query(flattened("SELECT 'flat' AS schema_id, tid AS type_id, array_to_string(labels, ':') AS labels, array_to_string(mandatory, ',') AS mandatory, array_to_string(optional, ',') AS optional FROM star_n", (c.FLAT,)))
 def schema_graph_reader(spark, d):
     n, e = schema_to_graph(schemas(spark, c.FLAT))

@@ -57,3 +57,23 @@ def test_mixtures_without_depth(spark, small):
         want = {(c["labels"], c["keys"]) for c in counts if (set(base.split(":")) <= set(c["labels"].split(":")) if base else not c["labels"])}
         assert {(r["labels"], r["keys"]) for r in rows if r["base"] == base} == want
     assert len({(r["base"], r["path"]) for r in rows}) > 8
+
+
+def test_sweep_leaves_nothing_out(spark, small, monkeypatch):
+    from inspect import signature
+
+    from strandgraph.operators import inject as ij
+
+    defaults = {k: p.default for k, p in signature(ij.trials).parameters.items()}
+    assert (defaults["kinds"], defaults["levels"], defaults["n"]) == (ij.KINDS, (1, 2, 3, 4, 5), 100)
+    real, given = ij.sweep, {}
+
+    def few(*args, **options):
+        given.update(options)
+        return real(*args, **options, kinds=("edge_cardinality_error",), levels=(1, 5), n=1)
+
+    monkeypatch.setattr(ij, "sweep", few)
+    rows = {r["level"]: r for r in QUERIES["inject_sweep_whole"](spark, small).collect()}
+    spark.catalog.clearCache()
+    assert given == {"cardinality": True}
+    assert rows[5]["edge_coverage"] < rows[1]["edge_coverage"] < 1
