@@ -695,12 +695,22 @@ def xsd_types(spark, d):
 
 @query(graph("SELECT DISTINCT array_to_string(labels, ':') AS labels, array_to_string(list_sort(mandatory), ',') AS mandatory, array_to_string(list_sort(optional), ',') AS optional FROM (SELECT unnest([[l] FOR l IN labels]) AS labels, mandatory, optional FROM nt WHERE len(labels) = 1)", True))
 def strict_ddl_round_trip(spark, d):
+    """Types of one label, as its SQL has it; ``strict_ddl_round_trip_whole`` takes all node types."""
+    return _round_trip(spark, d, F.size("labels") == 1)
+
+
+def _round_trip(spark, d, taken: Column):
     n, e = typed(spark, d)
-    text = ddl.strict_ddl(n.where(F.size("labels") == 1), e).groupBy().agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "line"))), lambda x: x["line"]), "\n").alias("text")).cache()  # one row, read three times
+    text = ddl.strict_ddl(n.where(taken), e).groupBy().agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "line"))), lambda x: x["line"]), "\n").alias("text")).cache()  # one row, read three times
     row = ddl.read_schemas(text.select(F.lit("s").alias("schema_id"), "text"))
     return row.select(F.explode("nodes").alias("t")).select(joined(F.col("t.labels"), ":").alias("labels"), joined(F.col("t.mandatory")).alias("mandatory"), joined(F.col("t.optional")).alias("optional"))
 
 
+@query()
+def strict_ddl_round_trip_whole(spark, d):
+    return _round_trip(spark, d, F.lit(True))
+
+
 @query(graph("SELECT array_to_string(labels, ':') AS labels, n, array_to_string(mandatory, ',') AS mandatory, array_to_string(optional, ',') AS optional FROM nt", True))
 def incremental_abstraction(spark, d):
     paged = nodes(spark, d).withColumn("page", F.pmod(F.xxhash64("node_id"), F.lit(7)))

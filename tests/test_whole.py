@@ -77,3 +77,15 @@ def test_sweep_leaves_nothing_out(spark, small, monkeypatch):
     spark.catalog.clearCache()
     assert given == {"cardinality": True}
     assert rows[5]["edge_coverage"] < rows[1]["edge_coverage"] < 1
+
+
+def test_round_trip_of_all_types(spark, small):
+    types = [(r["labels"].split(":"), r["mandatory"], r["optional"]) for r in QUERIES["merge_by_labels"](spark, small).collect()]
+    want = {}
+    for labels, mandatory, optional in sorted(types, key=lambda t: "_".join(t[0]) + "Type"):
+        for label in labels:
+            want.setdefault(label, (mandatory, optional))
+    rows = QUERIES["strict_ddl_round_trip_whole"](spark, small).collect()
+    spark.catalog.clearCache()
+    assert {r["labels"]: (r["mandatory"], r["optional"]) for r in rows} == want and len(rows) == len(want)
+    assert {"Event", "Debtor", "Fulfilled"} <= set(want)
