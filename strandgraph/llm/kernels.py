@@ -2,8 +2,8 @@
 
 Every kernel works on one flat byte buffer that holds several documents, with an
 offsets array beside it, and never loops over documents or words in Python.
-Strings are hashed as polynomials modulo 2**64 over a random table of byte
-values, read off prefix sums, and finished by an avalanche step.
+Strings are hashed as polynomials modulo the prime 2**61 - 1 at a random point,
+read off prefix sums; there is a cheaper hash for grouping alone.
 """
 
 from __future__ import annotations
@@ -30,11 +30,15 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def byte_values(seed: int = 1, lower: bool = False) -> np.ndarray:
-    """256 random values; with ``lower`` A-Z share the values of a-z."""
-    table = mix(np.arange(256, dtype=U64) + U64(256 * seed + 1))
-    if lower:
-        table[65:91] = table[97:123]
+def byte_values(seed: int = 1) -> np.ndarray:
+    """256 random values."""
+    return mix(np.arange(256, dtype=U64) + U64(256 * seed + 1))
+
+
+def lower_table() -> np.ndarray:
+    """Bytes with A-Z lower-cased."""
+    table = np.arange(256, dtype=np.uint8)
+    table[65:91] = table[97:123]
     return table
 
 
@@ -44,41 +48,115 @@ def space_table() -> np.ndarray:
     return table
 
 
-BASE = U64(0x9E3779B97F4A7C15 | 5)
-INVERSE = U64(pow(int(BASE), -1, 2**64))
+#: The prime 2**61 - 1, and a number below it that was drawn at random.
+PRIME, BASE = (1 << 61) - 1, 0x1B873593CC9E2D51 % ((1 << 61) - 1)
+_P, _LOW, _MID = U64(PRIME), U64((1 << 30) - 1), U64((1 << 31) - 1)
+#: Values handled at once: what a core's cache holds, and few enough that no sum of parts leaves 64 bits.
+_STEP = 1 << 14
+
+
+def reduced(x: np.ndarray) -> np.ndarray:
+    """x modulo 2**61 - 1."""
+    x = (x & _P) + (x >> U64(61))
+    x -= (x >= _P) * _P
+    return x
+
+
+def _joined(low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """low + 2**30 * high modulo 2**61 - 1, of parts that leave room."""
+    return reduced(low + (high >> U64(31)) + ((high & _MID) << U64(30)))
+
 
+def times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """a * b modulo 2**61 - 1, of numbers below that."""
+    if len(a) > _STEP:
+        out = np.empty(len(a), U64)
+        for i in range(0, len(a), _STEP):
+            out[i : i + _STEP] = times(a[i : i + _STEP], b[i : i + _STEP] if b.ndim else b)
+        return out
+    ah, al, bh, bl = a >> U64(31), a & _MID, b >> U64(31), b & _MID
+    cross = ah * bl + al * bh
+    return reduced(((ah * bh) << U64(1)) + (cross >> U64(30)) + ((cross & _LOW) << U64(31)) + reduced(al * bl))
 
-def powers(base: np.uint64, n: int) -> np.ndarray:
-    out = np.full(n + 1, base, U64)
-    out[0] = 1
-    return np.multiply.accumulate(out)
+
+def powers(base: int, n: int) -> np.ndarray:
+    """1, base, ..., base**n modulo 2**61 - 1, by doubling."""
+    out = np.ones(n + 1, U64)
+    have = 1
+    while have <= n:
+        more = min(have, n + 1 - have)
+        out[have : have + more] = times(out[:more], np.asarray(pow(base, have, PRIME), U64))
+        have += more
+    return out
 
 
 class Powers:
-    """Powers of the base and of its inverse, kept by a task as long as it runs."""
+    """Powers of the bases and of their inverses, kept by a task as long as it runs."""
+
+    ODD = 0x9E3779B97F4A7C15
+    BACK = pow(ODD, -1, 2**64)
 
     def __init__(self):
-        self.up = self.down = powers(BASE, 0)
+        self._n = -1
+        self.grow(0)
 
-    def get(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if n >= len(self.up):
-            self.up, self.down = powers(BASE, n), powers(INVERSE, n)
-        return self.up, self.down
+    def grow(self, n: int) -> Powers:
+        if n > self._n:
+            self._n = n
+            self.up, self.down = powers(BASE, n), powers(pow(BASE, -1, PRIME), n)
+            self.up_low, self.up_high = self.up & _LOW, self.up >> U64(30)
+            self.odd_up, self.odd_down = (np.multiply.accumulate(np.r_[U64(1), np.full(n, b, U64)]) for b in (self.ODD, self.BACK))
+        return self
 
 
 class Polynomial:
-    """Hashes of any span of a value sequence from one prefix sum."""
+    """Hashes of any span of a value sequence from one prefix sum.
+
+    A span's hash is its polynomial modulo 2**61 - 1 at a random point, mixed:
+    two different spans of at most n values collide with a chance of n / 2**61.
+    Values are bytes, or any numbers, of which the upper 61 bits count.
+    """
+
+    def __init__(self, values: np.ndarray, tables: Powers | None = None):
+        n = len(values)
+        tables = (tables or Powers()).grow(n)
+        self.back = tables.down
+        self.sums = np.zeros(n + 1, U64)
+        carry = U64(0)
+        for a in range(0, n, _STEP):
+            part = values[a : a + _STEP]
+            b = a + len(part)
+            if part.dtype == np.uint8:
+                part = part.astype(U64) + U64(1)
+                low, high = part * tables.up_low[a:b], part * tables.up_high[a:b]
+            else:
+                term = times(reduced(part >> U64(3)), tables.up[a:b])
+                low, high = term & _LOW, term >> U64(30)
+            self.sums[a + 1 : b + 1] = reduced(_joined(np.cumsum(low), np.cumsum(high)) + carry)
+            carry = self.sums[b]
+
+    def spans(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Hash of each span [start, end)."""
+        return mix(times(reduced(self.sums[end] + (_P - self.sums[start])), self.back[start]))
+
+
+class Rolling:
+    """Cheap hashes of spans, modulo 2**64: good enough to choose and to group by, never to tell texts apart alone."""
 
     def __init__(self, values: np.ndarray, tables: Powers | None = None):
         n = len(values)
-        up, self.back = (tables or Powers()).get(n)
+        tables = (tables or Powers()).grow(n)
+        self.back = tables.odd_down
         self.sums = np.zeros(n + 1, U64)
-        np.cumsum(values * up[:n], out=self.sums[1:])
+        letters = byte_values()
+        for a in range(0, n, _STEP):
+            b = min(a + _STEP, n)
+            part = letters[values[a:b]] if values.dtype == np.uint8 else values[a:b]
+            np.cumsum(part * tables.odd_up[a:b], out=self.sums[a + 1 : b + 1])
+            self.sums[a + 1 : b + 1] += self.sums[a]
 
     def spans(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        """Hash of each span [start, end), its length included."""
-        raw = (self.sums[end] - self.sums[start]) * self.back[start]
-        return mix(raw + (end - start).astype(U64) * U64(0xD6E8FEB86659FD93))
+        return mix((self.sums[end] - self.sums[start]) * self.back[start])
 
     def grams(self, k: int) -> np.ndarray:
         """Hash of each run of k values, by its start."""
@@ -142,7 +220,7 @@ class Words:
         self.data = data
 
     def hashes(self, lower: bool = False, tables: Powers | None = None) -> np.ndarray:
-        poly = Polynomial(byte_values(lower=lower)[self.data], tables)
+        poly = Polynomial(lower_table()[self.data] if lower else self.data, tables)
         return poly.spans(self.start, self.end)
 
 

@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .kernels import U64, Polynomial, Powers, Words, byte_values, expand, flat, mix, pieces
+from .kernels import U64, Polynomial, Powers, Words, expand, flat, mix, pieces
 
 PER_LANGUAGE, LONGEST, EPOCHS, SEED = 300, 20_000, 4, 5
 PIECE, SEGMENT = 1 << 18, 48
@@ -86,7 +86,7 @@ class Features:
             head = head << 8 | np.where(k < self.count, framed[first + 4 + k], 32)
             tail = tail << 8 | np.where(k < self.count, framed[end4 - 1 - k], 32)
         self.prefix, self.suffix = self._fold(head, BITS["prefix"]), self._fold(tail, BITS["suffix"])
-        whole = Polynomial(byte_values(3)[text], tables).spans(first, last)
+        whole = Polynomial(text, tables).spans(first, last)
         self.lexicon = (whole >> U64(64 - BITS["lexicon"])).astype(np.int64)
 
     @staticmethod
@@ -287,10 +287,11 @@ def label(df: DataFrame, model: Model, text: str = "text", with_spans: bool = Fa
     """``df`` with lang_pred and score; with spans also (first word, words, language) of each run."""
     df = df.drop("lang_pred", "score", "lang_spans")
     at = df.columns.index(text)
-    shared = df.sparkSession.sparkContext.broadcast(model)
+    # Plain arrays: a broadcast names classes, which executors without this package do not have.
+    shared = df.sparkSession.sparkContext.broadcast((list(model.languages), dict(model.weights), model.bias, model.transition))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, tables = shared.value, Powers()
+        known, tables = Model(*shared.value), Powers()
         names = np.asarray([*known.languages, NONE], object)
         for batch in batches:
             data, offsets = flat(batch.column(at))

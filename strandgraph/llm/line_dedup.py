@@ -4,116 +4,92 @@ Lines are normalised (white space stripped at both ends, A-Z lower-cased),
 hashed, counted once a document, and those in ``min_docs`` documents or more are
 dropped everywhere; what stays is put together again by position.
 
-Only hashes are shuffled: each batch of documents sends one count a distinct
-key, so a line that every document has costs one row a batch.  The keys over the
-threshold are then either sent to all tasks, if there are at most
-``broadcast_keys`` of them (8 bytes each), or joined to the lines' positions.
+A line's key is 16 bytes of BLAKE2b: lines of one key are one line, also among
+10**14 of them.  Only keys are shuffled: each batch of documents sends one count
+a distinct key, so a line that every document has costs one row a batch.  The
+keys over the threshold are then either sent to all tasks, if there are at most
+``broadcast_keys`` of them (16 bytes each), or joined to the lines' positions.
 
 Defined results: a row is a document, so repeated rows count separately; a null
 or empty text is one empty line; a key with no character is never dropped; a
 text whose lines all go becomes empty; other columns pass, but for columns named
 like an output (``n_lines``, ``n_dropped``), which are replaced; an empty table
-gives an empty table.
+gives an empty table; very long texts and lines are handled like others.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import hashlib
+from collections import Counter
+from collections.abc import Callable, Iterator
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .kernels import U64, Polynomial, Powers, byte_values, flat, keep_bytes, owner, pieces, space_table, text_array
 from .shared import stored
 
-#: Most keys sent to every task: 8 MB.
+#: Most keys sent to every task: 16 MB.
 BROADCAST_KEYS = 1 << 20
+SPACE = b" \t\n\x0b\x0c\r"
+#: Short lines whose keys a batch remembers.
+REMEMBERED, SHORT = 1 << 16, 256
 
 
-class Lines:
-    """The lines of several documents and the keys of their normal forms."""
-
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, tables: Powers):
-        breaks = np.flatnonzero(data == 10)
-        before = np.searchsorted(breaks, offsets)
-        counts = np.diff(before) + 1
-        self.offsets = np.r_[0, np.cumsum(counts)]
-        n = int(self.offsets[-1])
-        self.first = np.empty(n, np.int64)
-        self.last = np.empty(n, np.int64)  # without the line break
-        heads, tails = self.offsets[:-1], self.offsets[1:] - 1
-        inner_head = np.ones(n, bool)
-        inner_head[heads] = False
-        inner_tail = np.ones(n, bool)
-        inner_tail[tails] = False
-        self.first[heads], self.last[tails] = offsets[:-1], offsets[1:]
-        self.first[inner_head], self.last[inner_tail] = breaks + 1, breaks
-        solid = np.flatnonzero(~space_table()[data])
-        a, b = np.searchsorted(solid, self.first), np.searchsorted(solid, self.last)
-        self.blank = a == b
-        start, end = self.first.copy(), self.first.copy()
-        full = ~self.blank
-        start[full], end[full] = solid[a[full]], solid[b[full] - 1] + 1
-        self.keys = Polynomial(byte_values(7, lower=True)[data], tables).spans(start, end)
+class Keys:
+    """Keys of lines; that of a blank line is None."""
+
+    def __init__(self):
+        self.known: dict[bytes, bytes] = {}
+
+    def of(self, text: bytes) -> list[bytes | None]:
+        known, out = self.known, []
+        for line in text.split(b"\n"):
+            line = line.strip(SPACE)
+            key = known.get(line)
+            if key is None and line:
+                key = hashlib.blake2b(line.lower(), digest_size=16).digest()
+                if len(line) <= SHORT and len(known) < REMEMBERED:
+                    known[line] = key
+            out.append(key)
+        return out
+
+
+def _bytes(column: pa.Array) -> Iterator[bytes]:
+    """The texts of a column, one at a time; null is empty."""
+    for value in column.cast(pa.large_binary()):
+        yield value.as_py() or b""
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    tables = Powers()
+    keys = Keys()
     for batch in batches:
-        data, offsets = flat(batch.column(0))
-        found = []
-        for i, j in pieces(offsets):
-            lines = Lines(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], tables)
-            doc, key = owner(lines.offsets)[~lines.blank], lines.keys[~lines.blank]
-            order = np.lexsort((key, doc))
-            doc, key = doc[order], key[order]
-            once = np.r_[True, (key[1:] != key[:-1]) | (doc[1:] != doc[:-1])] if len(key) else np.zeros(0, bool)
-            found.append(key[once])
-        keys, n = np.unique(np.concatenate(found) if found else np.zeros(0, U64), return_counts=True)
-        yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(n.astype(np.int64))], ["line_key", "n_docs"])
+        found: Counter[bytes] = Counter()
+        for text in _bytes(batch.column(0)):
+            found.update(set(keys.of(text)) - {None})
+        yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.binary()), pa.array(list(found.values()), pa.int64())], ["line_key", "n_docs"])
 
 
 def frequent_lines(df: DataFrame, text: str = "text", min_docs: int = 10) -> DataFrame:
     """line_key, n_docs of the keys found in ``min_docs`` documents or more."""
-    counted = df.select(F.col(text).cast("string")).mapInArrow(_count, "line_key long, n_docs long")
+    counted = df.select(F.col(text).cast("string")).mapInArrow(_count, "line_key binary, n_docs long")
     return counted.groupBy("line_key").agg(F.sum("n_docs").alias("n_docs")).where(F.col("n_docs") >= min_docs)
 
 
-def _without(column: pa.Array, drop_of) -> tuple[pa.Array, np.ndarray, np.ndarray]:
-    """The column without the lines that ``drop_of(row range, lines)`` marks."""
-    tables = Powers()
-    data, offsets = flat(column)
-    texts, n_lines, n_dropped = [], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    for i, j in pieces(offsets):
-        part, off = data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
-        lines = Lines(part, off, tables)
-        keep = ~drop_of(i, j, lines)
-        kept = np.zeros(len(keep) + 1, np.int64)
-        np.cumsum(keep, out=kept[1:])
-        kept = kept[lines.offsets]
-        n_lines.append(np.diff(lines.offsets))
-        n_dropped.append(n_lines[-1] - np.diff(kept))
-        span = lines.last - lines.first
-        inner = np.ones(len(span), bool)
-        inner[lines.offsets[1:] - 1] = False
-        mask = np.repeat(keep, span + inner)
-        numbers = np.flatnonzero(keep)
-        some = np.diff(kept) > 0
-        final = numbers[kept[1:][some] - 1]
-        final = final[inner[final]]
-        mask[lines.last[final]] = False
-        texts.append(text_array(*keep_bytes(part, off, mask)))
-    return pa.concat_arrays(texts) if texts else pa.array([], pa.string()), np.concatenate(n_lines), np.concatenate(n_dropped)
-
-
-def _replaced(batch: pa.RecordBatch, at: int, drop_of, leave: int = 0) -> pa.RecordBatch:
-    text, n_lines, n_dropped = _without(batch.column(at), drop_of)
+def _replaced(batch: pa.RecordBatch, at: int, gone: Callable[[int, bytes], list[bool]], leave: int = 0) -> pa.RecordBatch:
+    """The batch without the lines that ``gone(row, text)`` marks, and the line counts; the last ``leave`` columns go."""
+    texts, n_lines, n_dropped = [], [], []
+    for row, text in enumerate(_bytes(batch.column(at))):
+        marks = gone(row, text)
+        dropped = sum(marks)
+        if dropped:
+            text = b"\n".join(line for line, mark in zip(text.split(b"\n"), marks, strict=True) if not mark)
+        texts.append(text), n_lines.append(len(marks)), n_dropped.append(dropped)
+    text = pa.array(texts, pa.binary()).cast(pa.string())
     columns = [text if k == at else batch.column(k) for k in range(batch.num_columns - leave)]
     names = batch.schema.names[: len(columns)]
-    return pa.RecordBatch.from_arrays([*columns, pa.array(n_lines), pa.array(n_dropped)], [*names, "n_lines", "n_dropped"])
+    return pa.RecordBatch.from_arrays([*columns, pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64())], [*names, "n_lines", "n_dropped"])
 
 
 def drop_frequent_lines(df: DataFrame, text: str = "text", min_docs: int = 10, broadcast_keys: int = BROADCAST_KEYS) -> DataFrame:
@@ -125,52 +101,42 @@ def drop_frequent_lines(df: DataFrame, text: str = "text", min_docs: int = 10, b
     out = T.StructType([*df.schema.fields, T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType())])
 
     if frequent.limit(broadcast_keys + 1).count() <= broadcast_keys:
-        known = np.sort(np.asarray(frequent.toPandas()["line_key"], dtype=np.int64).view(U64))
-        shared = spark.sparkContext.broadcast(known)
+        shared = spark.sparkContext.broadcast(frozenset(bytes(r[0]) for r in frequent.toLocalIterator()))
 
         def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            keys = shared.value
-
-            def drop_of(i: int, j: int, lines: Lines) -> np.ndarray:
-                if not len(keys):
-                    return np.zeros(len(lines.keys), bool)
-                near = np.minimum(np.searchsorted(keys, lines.keys), len(keys) - 1)
-                return (keys[near] == lines.keys) & ~lines.blank
-
+            known, keys = shared.value, Keys()
             for batch in batches:
-                yield _replaced(batch, at, drop_of)
+                yield _replaced(batch, at, lambda _, text: [key in known for key in keys.of(text)])
 
         return df.mapInArrow(listed, out)
 
     def positions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables = Powers()
+        keys = Keys()
         for batch in batches:
-            data, offsets = flat(batch.column(0))
-            rows = np.asarray(batch.column(1))
-            for i, j in pieces(offsets):
-                lines = Lines(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], tables)
-                doc = owner(lines.offsets)
-                at_line = np.arange(len(doc)) - lines.offsets[doc]
-                full = ~lines.blank
-                yield pa.RecordBatch.from_arrays([pa.array(lines.keys[full].view(np.int64)), pa.array(rows[i:j][doc[full]]), pa.array(at_line[full])], ["line_key", "_row", "_line"])
-
-    # Rows with equal texts lose equal lines: the text's hash is the row's name here.
-    named = df.withColumn("_row", F.xxhash64(F.coalesce(text, F.lit(""))))
-    lines = named.select(text, "_row").mapInArrow(positions, "line_key long, _row long, _line long").join(frequent, "line_key", "left_semi")
+            seen: set[bytes] = set()  # equal texts of a batch once
+            for text, name in zip(_bytes(batch.column(0)), batch.column(1), strict=True):
+                row = name.as_py()
+                if row not in seen:
+                    seen.add(row)
+                    full = [(k, key) for k, key in enumerate(keys.of(text)) if key]
+                    yield pa.RecordBatch.from_arrays([pa.array([key for _, key in full], pa.binary()), pa.array([row] * len(full), pa.binary()), pa.array([k for k, _ in full], pa.int64())], ["line_key", "_row", "_line"])
+
+    # Rows with equal texts lose equal lines: the text's digest is the row's name here.
+    named = df.withColumn("_row", F.unhex(F.md5(F.coalesce(text, F.lit("")).cast("binary"))))
+    lines = named.select(text, "_row").mapInArrow(positions, "line_key binary, _row binary, _line long").join(frequent, "line_key", "left_semi")
     dropped = lines.groupBy("_row").agg(F.array_sort(F.collect_set("_line")).alias("_drop"))
     joined = named.join(dropped, "_row", "left").select(*df.columns, "_drop")
 
     def by_position(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            drops = batch.column(batch.num_columns - 1).to_pylist()
+            drops = batch.column(batch.num_columns - 1)
 
-            def drop_of(i: int, j: int, lines: Lines) -> np.ndarray:
-                mask = np.zeros(len(lines.keys), bool)
-                for k in range(i, j):
-                    if drops[k]:
-                        mask[lines.offsets[k - i] + np.asarray(drops[k])] = True
-                return mask
+            def gone(row: int, text: bytes) -> list[bool]:
+                marks = [False] * (text.count(b"\n") + 1)
+                for k in drops[row].as_py() or ():
+                    marks[k] = True
+                return marks
 
-            yield _replaced(batch, at, drop_of, leave=1)
+            yield _replaced(batch, at, gone, leave=1)
 
     return joined.mapInArrow(by_position, out)
