@@ -139,6 +139,11 @@ class Polynomial:
         """Hash of each span [start, end)."""
         return mix(times(reduced(self.sums[end] + (_P - self.sums[start])), self.back[start]))
 
+    def grams(self, k: int) -> np.ndarray:
+        """Hash of each run of k values, by its start."""
+        at = np.arange(max(0, len(self.sums) - k))
+        return self.spans(at, at + k)
+
 
 class Rolling:
     """Cheap hashes of spans, modulo 2**64: good enough to choose and to group by, never to tell texts apart alone."""

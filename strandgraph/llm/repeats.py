@@ -28,6 +28,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +36,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .kernels import U64, Polynomial, Powers, Words, byte_values, expand, flat, mix, pieces, sliding_min, union_spans
+from .kernels import U64, Polynomial, Powers, Rolling, Words, expand, flat, mix, pieces, sliding_min, union_spans
 from .shared import partitions, row_id
 
 #: Contents of one key that are compared in one group.
@@ -68,8 +69,18 @@ class Symbols:
     def __init__(self, rule: Rule, data: np.ndarray, offsets: np.ndarray, tables: Powers):
         self.words = Words(data, offsets) if rule.words else None
         self.offsets = self.words.offsets if self.words else offsets
-        values = self.words.hashes(tables=tables) if self.words else byte_values()[data]
-        self.poly = Polynomial(values, tables)
+        self.values = self.words.hashes(tables=tables) if self.words else data
+        self.tables = tables
+
+    @cached_property
+    def poly(self) -> Polynomial:
+        """Tells stretches apart."""
+        return Polynomial(self.values, self.tables)
+
+    @cached_property
+    def rolling(self) -> Rolling:
+        """Chooses the keys."""
+        return Rolling(self.values, self.tables)
 
     def bytes_of(self, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         return (self.words.start[start], self.words.end[end - 1]) if self.words else (start, end)
@@ -100,7 +111,7 @@ def _slices(rule: Rule, symbols: Symbols) -> tuple[np.ndarray, np.ndarray, np.nd
     offsets, n = symbols.offsets, int(symbols.offsets[-1])
     if n < rule.window:
         return np.zeros(0, U64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-    grams, width = symbols.poly.grams(rule.gram), rule.window - rule.gram + 1
+    grams, width = symbols.rolling.grams(rule.gram), rule.window - rule.gram + 1
     least = sliding_min(grams, width)
     inside = np.ones(len(least), bool)
     first = np.maximum(offsets[1:-1] - rule.window + 1, np.maximum(offsets[:-2], 0))
@@ -224,8 +235,9 @@ def _anchors(rule: Rule, shared: Broadcast) -> Callable[[Iterator[pa.RecordBatch
                     at = expand(start[often], many)
                     own = np.repeat(key[often], many)
                     rest = ~often
-                    key = np.r_[key[rest], mix(own ^ symbols.poly.spans(at, at + rule.window))]
-                    content = np.r_[content[rest], np.zeros(len(at), U64)]
+                    whole = symbols.poly.spans(at, at + rule.window)
+                    key = np.r_[key[rest], mix(own ^ whole)]
+                    content = np.r_[content[rest], whole]
                     start, end, kind = np.r_[start[rest], at], np.r_[end[rest], at + rule.window], np.r_[kind[rest], np.full(len(at), ASKED)]
                 doc = np.searchsorted(symbols.offsets, start, "right") - 1
                 parts.append((key, content, ids[i:j][doc], marks[i:j][doc], start - symbols.offsets[doc], end - start, kind))
