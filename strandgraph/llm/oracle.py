@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from .license_scan import BREAK, COPYRIGHT, LOWER, UPPER
-from .license_texts import EQUIVALENTS, LICENSES, NOTICES
+from .license_texts import DIGESTS, EQUIVALENTS, LICENSES, NOTICES
 
 SPACE = "chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || ' '"
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -19,18 +19,33 @@ def _spelt(x: str) -> str:
     return x
 
 
+#: Words that go on a licence's own sentence where a line begins with "copyright".
+SENTENCE = """also and as assignment disclaimer doctrine doctrines for holder holders in interest interests is law laws license licenses like line
+notice notices of on or owner owners patent patents permission protection right rights software statement statements status that the
+this to treaty under which with year""".split()
+
+
 def _licenses() -> str:
-    line = _spelt(f"trim(regexp_replace(x, {_quoted(BREAK)}, ' ', 'g'))")
-    lines = f"list_filter(list_transform(list_filter(string_split(translate(text, '{UPPER}', '{LOWER}'), chr(10)), lambda x: not regexp_matches(x, {_quoted(COPYRIGHT)})), lambda x: {line}), lambda x: x <> '')"
+    marked = f"replace(replace(replace(translate(text, '{UPPER}', '{LOWER}'), chr(169), ' c '), chr(9400), ' c '), chr(8471), ' c ')"
+    clean = _spelt(f"regexp_replace({marked}, '[^\\n\\pL\\pM\\pN]+', ' ', 'g')")
+    year = "regexp_matches(string_split(x, ' ')[{}], '^[12][0-9][0-9][0-9]')"
+    second = "string_split(x, ' ')[2]"
+    states = f"""(x = 'all rights reserved' OR (string_split(x, ' ')[1] = 'c' AND {year.format(2)})
+      OR (starts_with(x, 'portions copyright ') AND (starts_with(x, 'portions copyright c ') OR starts_with(x, 'portions copyright by ') OR {year.format(3)}))
+      OR (starts_with(x, 'copyright ') AND ({year.format(2)} OR starts_with(x, 'copyright c ') OR starts_with(x, 'copyright by ')
+          OR (regexp_matches({second}, '^\\pL') AND {second} NOT IN ({", ".join(map(_quoted, SENTENCE))})))))"""
+    lines = f"list_filter(list_transform(string_split({clean}, chr(10)), lambda x: trim(x)), lambda x: x <> '' AND NOT {states})"
     whole = f"sha256({_spelt("coalesce(array_to_string(lines, ' '), '')")})"
     values = lambda rows: ", ".join(f"({_quoted(a)}, {_quoted(b)})" for a, b in rows)
-    table = lambda rows: f"(SELECT {whole} AS digest, min(id) AS id FROM (SELECT id, {lines} AS lines FROM (VALUES {values(rows)}) AS v(id, text)) GROUP BY 1)"
+    kept = lambda rows: f"(SELECT id, {lines} AS lines FROM (VALUES {values(rows)}) AS v(id, text))"
+    more = f" UNION ALL SELECT * FROM (VALUES {values((b, a) for a, b in DIGESTS)})" if DIGESTS else ""
     return f"""
-WITH licenses AS {table(LICENSES)}, notices AS {table(NOTICES)},
+WITH licenses AS (SELECT digest, min(id) AS id FROM (SELECT {whole} AS digest, id FROM {kept(LICENSES)}{more}) GROUP BY 1),
+notices AS (SELECT array_to_string(lines, ' ') AS notice, min(id) AS id FROM {kept(NOTICES)} GROUP BY 1),
 doc AS (SELECT doc_id, CASE WHEN text IS NOT NULL THEN {whole} END AS text_digest, lines
         FROM (SELECT doc_id, text, {lines} AS lines FROM documents)),
 hit AS (SELECT doc_id, count(*) AS n, string_agg(DISTINCT id, ',' ORDER BY id) AS ids
-        FROM (SELECT doc_id, unnest(lines) AS line FROM doc) AS l JOIN notices ON sha256(line) = digest GROUP BY 1)
+        FROM (SELECT doc_id, unnest(lines) AS line FROM doc) AS l JOIN notices ON line = notice GROUP BY 1)
 SELECT doc.doc_id, text_digest, licenses.id AS license_id, coalesce(hit.n, 0) AS n_notices, coalesce(hit.ids, '') AS notices
 FROM doc LEFT JOIN licenses ON text_digest = licenses.digest LEFT JOIN hit ON hit.doc_id = doc.doc_id"""
 
