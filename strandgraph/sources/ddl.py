@@ -47,12 +47,22 @@ def edge_names(types: DataFrame) -> DataFrame:
     return types.withColumn("type_name", F.concat(F.lower("rel_type"), F.lit("Type")))
 
 
+def united(types: DataFrame) -> DataFrame:
+    """type_name, rel_type, mandatory, optional, types: one row a relationship type, mandatory what all its ends have."""
+    every = edge_names(types).groupBy("type_name", "rel_type").agg(
+        F.collect_list("mandatory").alias("m"), F.collect_list("optional").alias("o"), F.flatten(F.collect_list(F.map_entries("types"))).alias("t")
+    )
+    shared = F.array_sort(F.aggregate("m", F.col("m")[0], F.array_intersect))
+    keys = F.array_distinct(F.flatten(F.concat("m", "o")))
+    kind = lambda p: F.array_min(F.transform(F.filter("t", lambda e: e["key"] == p), lambda e: e["value"]))
+    kinds = F.map_from_entries(F.transform(keys, lambda p: F.struct(p, kind(p))))
+    return every.select("type_name", "rel_type", shared.alias("mandatory"), F.array_sort(F.array_except(keys, shared)).alias("optional"), kinds.alias("types"))
+
+
 def edge_ddl(types: DataFrame) -> DataFrame:
-    """An edge type line for each relationship type: that of its first ends, by name."""
-    first = F.row_number().over(Window.partitionBy("type_name").orderBy(F.array_join("src_labels", ":"), F.array_join("dst_labels", ":"), F.array_join("mandatory", ",")))
-    t = edge_names(types).withColumn("_first", first).where("_first = 1")
+    """An edge type line for each relationship type, with the keys of all its ends."""
     line = F.concat(F.lit("CREATE EDGE TYPE "), F.col("type_name"), F.lit(" : "), F.col("rel_type"), F.lit(" {"), property_list(F.col("mandatory"), F.col("optional"), F.col("types")), F.lit("};"))
-    return t.select("type_name", line.alias("line"))
+    return united(types).select("type_name", line.alias("line"))
 
 
 def connections(types: DataFrame) -> DataFrame:
@@ -80,7 +90,7 @@ def strict_ddl(node_types: DataFrame, edge_types: DataFrame, graph: str = "NewGr
     spark = node_types.sparkSession
     fixed = lambda k, text: spark.createDataFrame([(k, "", text)], "part int, type_name string, line string")
     part = lambda k, df: df.select(F.lit(k).alias("part"), "type_name", "line")
-    body = node_ddl(node_types).select("type_name", F.concat(F.lit("  "), "type_name").alias("line"))
+    body = node_ddl(node_types).select("type_name", F.concat(F.lit("  ("), "type_name", F.lit("),")).alias("line"))
     rows = part(1, node_ddl(node_types)).unionByName(part(2, edge_ddl(edge_types))).unionByName(fixed(3, f"CREATE GRAPH TYPE {graph} STRICT {{"))
     rows = rows.unionByName(part(4, body)).unionByName(part(5, connections(edge_types))).unionByName(fixed(6, "}"))
     rows = rows.unionByName(part(7, constraints(edge_types)))
@@ -133,9 +143,10 @@ def write_lines(lines: DataFrame, path: str) -> None:
 
 
 # --- reading ----------------------------------------------------------------
-NODE_LINE = r"CREATE\s+NODE\s+TYPE\s+(\w+)\s*:\s*([^{;]+?)\s*\{([^}]*)\}"
-EDGE_LINE = r"CREATE\s+EDGE\s+TYPE\s+(\w+)\s*:\s*([^{;]+?)\s*\{([^}]*)\}"
-CONNECTION = r"\(\s*:\s*([^)]*?)\s*\)\s*-\[\s*(\w+)\s*\]->\s*\(\s*:\s*([^)]*?)\s*\)"
+#: A name ends at a colon with blanks on both sides, as names may hold colons; a plain name may go without them.
+_NAMED = r"\s+TYPE\s+(\S+(?=\s+:\s)|\w+)\s*:\s*([^{};]+?)\s*(?:\{([^}]*)\}|(?=;))"
+NODE_LINE, EDGE_LINE = r"CREATE\s+NODE" + _NAMED, r"CREATE\s+EDGE" + _NAMED
+CONNECTION = r"\(\s*:\s*([^)]*?)\s*\)\s*-\[\s*([^\]\s]+)\s*\]->\s*\(\s*:\s*([^)]*?)\s*\)"
 
 
 def _groups(text: Column, pattern: str, n: int = 3) -> Column:
@@ -152,7 +163,7 @@ def _props(text: Column, optional: bool) -> Column:
 
 def alternatives(text: Column) -> Column:
     """The label sets of ``A:B | C``: an array of sorted arrays, abstract ones left out."""
-    sets = F.transform(F.split(text, "\\|"), lambda a: F.array_sort(F.filter(F.transform(F.split(a, "[:&]"), lambda x: F.trim(x)), lambda x: x != "")))
+    sets = F.transform(F.split(text, "\\|"), lambda a: F.array_sort(F.array_distinct(F.filter(F.transform(F.split(a, ":"), lambda x: F.trim(x)), lambda x: x != ""))))
     return F.filter(sets, lambda s: (F.size(s) > 0) & ~F.exists(s, lambda x: x.rlike("^ABSTRACT")))
 
 
