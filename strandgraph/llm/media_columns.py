@@ -3,12 +3,16 @@
 Mu-law and A-law codes expand through tables of 256 samples, IMA ADPCM blocks
 are decoded step by step with numpy across all blocks at once, and the samples
 are resampled by linear interpolation.  Codes are stored in RIFF/WAVE form, which
-keeps each code as it is, so that stored audio is lossless; PCM is derived.
+keeps each code as it is, so that stored audio is lossless; PCM is derived and
+stored beside it.  A text's bytes are mu-law codes, A-law codes or the nibbles of
+ADPCM blocks, by the CRC-32 of its payload.
 
 Defined results: null audio or text is empty; an empty payload is padded to one
 unit of 64 bytes; equal input gives equal output; bytes after a RIFF chunk or a
 short last ADPCM block are ignored; a stored form that is no RIFF file of a known
-format raises ValueError; other columns pass or are left out by the caller.
+format raises ValueError; repeated rows give equal rows; of other columns
+``decode_telephony`` passes all but those named like an output, and
+``store_payloads`` none.
 """
 
 from __future__ import annotations
@@ -24,11 +28,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .kernels import flat
+from .kernels import flat, pieces
 
 #: RIFF format numbers of the ITU-T G.711 laws and of IMA ADPCM.
 FORMATS = {"alaw": 6, "mulaw": 7, "ima": 17}
 RATE, PCM_RATE, UNIT = 8000, 16000, 64
+#: Codecs of stored texts, bytes of an ADPCM block's head, and bytes of text handled at once.
+CODECS, HEAD, PIECE = ("mulaw", "alaw", "ima"), 4, 1 << 20
 
 
 def mulaw_table() -> np.ndarray:
@@ -162,10 +168,14 @@ def law_tables() -> dict[str, np.ndarray]:
 
 def feature(pcm: np.ndarray, codec: str) -> str:
     """Codec, samples, energy, peak and sign changes of PCM: whole numbers only."""
-    wide = pcm.astype(np.int32)
-    energy = int(np.dot(pcm.astype(np.float64), pcm)) // max(1, len(pcm))
-    signs = int(np.count_nonzero((wide[1:] < 0) != (wide[:-1] < 0)))
-    return f"{codec};n={len(pcm)};power={energy};peak={int(np.abs(wide).max(initial=0))};crossings={signs}"
+    energy = peak = signs = 0
+    for a in range(0, len(pcm), PIECE):  # sums of a piece's squares are exact in doubles
+        wide = pcm[a : a + PIECE + 1].astype(np.int32)
+        own = wide[:PIECE]
+        energy += int(np.dot(own.astype(np.float64), own))
+        peak = max(peak, int(np.abs(own).max()))
+        signs += int(np.count_nonzero((wide[1:] < 0) != (wide[:-1] < 0)))
+    return f"{codec};n={len(pcm)};power={energy // max(1, len(pcm))};peak={peak};crossings={signs}"
 
 
 def decode_telephony(df: DataFrame, media: str = "media", to: int = PCM_RATE) -> DataFrame:
@@ -190,27 +200,70 @@ def decode_telephony(df: DataFrame, media: str = "media", to: int = PCM_RATE) ->
     return df.mapInArrow(run, schema)
 
 
-def store_payloads(df: DataFrame, text: str = "text", doc_id: str = "doc_id", codec: str = "mulaw", with_media: bool = False) -> DataFrame:
-    """Each text's bytes as stored 8-bit codes, read back, with digests and a feature."""
-    names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
-    schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+def codec_of(payload: bytes) -> str:
+    """The codec that a payload is stored with: its CRC-32 modulo 3, so equal payloads have equal ones."""
+    return CODECS[zlib.crc32(payload) % len(CODECS)]
+
+
+def framed(payload: bytes) -> bytes:
+    """ADPCM blocks whose nibbles are the payload's bytes: each has a head of sample 0 and step 0, and one unit."""
+    blocks = np.zeros((len(payload) // UNIT, HEAD + UNIT), np.uint8)
+    blocks[:, HEAD:] = np.frombuffer(payload, np.uint8).reshape(-1, UNIT)
+    return blocks.tobytes()
+
+
+def unframed(codes: np.ndarray, block: int) -> np.ndarray:
+    """The bytes of the nibbles of whole ADPCM blocks."""
+    return codes[: len(codes) // block * block].reshape(-1, block)[:, HEAD:].reshape(-1)
+
+
+def waves(stored: list[tuple[str, int, int, np.ndarray]], tables: dict[str, np.ndarray], to: int) -> list[np.ndarray]:
+    """Resampled PCM of several files; the ADPCM blocks of all files of one block size are decoded together."""
+    pcm: list[np.ndarray] = [np.zeros(0, np.int16)] * len(stored)
+    for block in {b for kind, _, b, _ in stored if kind == "ima"}:
+        own = [i for i, x in enumerate(stored) if x[0] == "ima" and x[2] == block]
+        counts = [len(stored[i][3]) // block for i in own]
+        wave = decode_ima(np.concatenate([stored[i][3][: n * block] for i, n in zip(own, counts, strict=True)]), block)
+        ends = np.cumsum(counts) * (2 * block - 7)
+        for i, part in zip(own, np.split(wave, ends[:-1]), strict=True):
+            pcm[i] = part
+    for i, (kind, rate, _, codes) in enumerate(stored):
+        pcm[i] = resample(pcm[i] if kind == "ima" else tables[kind][codes], rate, to)
+    return pcm
+
+
+def store_payloads(df: DataFrame, text: str = "text", doc_id: str = "doc_id", codec: str | None = None, with_media: bool = False) -> DataFrame:
+    """Each text's bytes as stored codes, read back and decoded: digests, feature, codec, bytes and digest of the PCM.
+
+    The codec is that of the payload's CRC-32 (``codec_of``) unless one is given.
+    With ``with_media`` the stored file and its resampled PCM (16 bit, little-endian)
+    are columns too.
+    """
+    kinds = {
+        "n_bytes": pa.int64(), "payload_bytes": pa.int64(), "payload_sha256": pa.string(), "tail_crc32": pa.int64(), "media_bytes": pa.int64(),
+        "media_sha256": pa.string(), "feature": pa.string(), "codec": pa.string(), "pcm_bytes": pa.int64(), "pcm_sha256": pa.string(),
+    }
+    kinds |= {"media": pa.binary(), "pcm": pa.binary()} if with_media else {}
+    sql = {pa.int64(): "long", pa.string(): "string", pa.binary(): "binary"}
+    schema = ", ".join(["doc_id long", *(f"{k} {sql[v]}" for k, v in kinds.items())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables = law_tables()
         for batch in batches:
             data, offsets = flat(batch.column(1))
-            rows, kept = [], []
-            for i, n in enumerate(np.diff(offsets).tolist()):
-                raw = data[offsets[i] : offsets[i + 1]].tobytes()
-                media = store(raw + bytes(-n % UNIT if n else UNIT), codec)
-                kind, rate, block, codes = read(media)
-                wave = resample(samples(kind, np.frombuffer(codes, np.uint8), tables, block), rate, PCM_RATE)
-                rows.append((n, len(codes), hashlib.sha256(codes).hexdigest(), zlib.crc32(codes[-UNIT:]), len(media), hashlib.sha256(media).hexdigest(), feature(wave, kind)))
-                if with_media:
-                    kept.append(media)
-            columns = list(zip(*rows, strict=True)) if rows else [()] * 7
-            kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
-            arrays = [batch.column(0), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))]
-            yield pa.RecordBatch.from_arrays(arrays + [pa.array(kept, pa.binary())] * with_media, names + ["media"] * with_media)
-
-    return df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(run, schema + ", media binary" * with_media)
+            for i, j in pieces(offsets, PIECE):
+                sizes, files = np.diff(offsets[i : j + 1]).tolist(), []
+                for k, n in zip(range(i, j), sizes, strict=True):
+                    payload = data[offsets[k] : offsets[k + 1]].tobytes() + bytes(-n % UNIT if n else UNIT)
+                    own = codec or codec_of(payload)
+                    files.append(store(framed(payload), own, block=HEAD + UNIT) if own == "ima" else store(payload, own))
+                stored = [(kind, rate, block, np.frombuffer(codes, np.uint8)) for kind, rate, block, codes in map(read, files)]
+                rows = []
+                for n, media, (kind, _, block, codes), wave in zip(sizes, files, stored, waves(stored, tables, PCM_RATE), strict=True):
+                    back, pcm = (unframed(codes, block) if kind == "ima" else codes).tobytes(), wave.astype("<i2").tobytes()
+                    row = (n, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-UNIT:]), len(media), hashlib.sha256(media).hexdigest())
+                    rows.append((*row, feature(wave, kind), kind, len(pcm), hashlib.sha256(pcm).hexdigest(), *((media, pcm) if with_media else ())))
+                columns = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds.values(), strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), *columns], ["doc_id", *kinds])
+
+    return df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(run, schema)
