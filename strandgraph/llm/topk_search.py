@@ -9,12 +9,15 @@ so far, and exact scores are computed for the survivors.
 
 The queries go to the tasks in blocks of a fixed number, one job a block, and
 every task keeps k candidates a query; the bounds carry a margin for rounding,
-so results are exact.
+so results are exact.  Scores are computed in doubles where those are exact, else
+in 64-bit or, beyond that, in whole numbers of any size.
 
 Defined results: vectors that are null, hold a null or a non-finite component,
 or whose id is null take no part; vectors of another length than the query are
-no candidates; repeated ids are rows of their own, but a row is no candidate of
-a query of the same id; ties go to the smaller id; no queries, no rows.
+no candidates; repeated ids are rows of their own, as queries too, each with its
+own ranks, but a row is no candidate of a query of the same id; ties go to the
+smaller id; components times the scale and scores beyond 64 bits stop at the ends
+of that range; other columns are left out; no queries, no rows.
 """
 
 from __future__ import annotations
@@ -48,15 +51,17 @@ def statistics(x: np.ndarray, segments: int) -> np.ndarray:
         if b > a:
             part = x[:, a:b].astype(np.float64)
             mean = part.mean(1)
-            parts += [mean * np.sqrt(b - a), np.sqrt(np.maximum((part * part).sum(1) - mean * mean * (b - a), 0))]
+            part -= mean[:, None]
+            parts += [mean * np.sqrt(b - a), np.sqrt((part * part).sum(1))]
     return np.stack(parts, 1) if parts else np.zeros((len(x), 1))
 
 
 class Search:
     """The best k of the vectors seen so far, for a block of queries of one length."""
 
-    def __init__(self, ids: np.ndarray, queries: np.ndarray, k: int):
-        self.ids, self.queries, self.k = ids, queries, k
+    def __init__(self, ids: np.ndarray, marks: np.ndarray, queries: np.ndarray, k: int):
+        self.ids, self.marks, self.queries, self.k = ids, marks, queries, k
+        self.widest = float(np.abs(queries.astype(np.float64)).max(initial=0))
         self.levels = [s for s in (1, 4, 16, 64) if s < queries.shape[1]]
         self.coarse = [statistics(queries, s) for s in self.levels]
         low = np.iinfo(np.int64).min
@@ -68,17 +73,21 @@ class Search:
         worst = np.where(self.real.all(1), self.scores[:, -1], np.iinfo(np.int64).min).astype(np.float64)
         q = np.arange(len(self.ids))
         alive = np.ones((len(self.ids), len(ids)), bool)
+        big = self.widest * float(np.abs(vectors.astype(np.float64)).max(initial=0)) * max(1, vectors.shape[1])
         for level, mine in zip(self.levels, self.coarse, strict=True):
             bound = mine[q] @ statistics(vectors, level).T
-            alive[q] &= bound * (1 + 1e-9) + 1e-6 * (1 + np.abs(bound)) >= worst[q, None]
+            bound += 1e-6 * (1 + np.abs(bound)) + 1e-12 * big
+            alive[q] &= np.clip(bound, -(2.0**63), 2.0**63) >= worst[q, None]
             q = q[alive[q].any(1)]
             if not len(q):
                 return
         some = np.flatnonzero(alive[q].any(0))
         # Exact in doubles as long as sums stay below 2**53.
-        big = float(np.abs(self.queries).max(initial=0)) * float(np.abs(vectors).max(initial=0)) * max(1, vectors.shape[1])
-        kind = np.float64 if big < 2**52 else np.int64
-        scores = (self.queries[q].astype(kind) @ vectors[some].astype(kind).T).astype(np.int64)
+        kind = np.float64 if big < 2**52 else np.int64 if big < 2**62 else object
+        scores = self.queries[q].astype(kind) @ vectors[some].astype(kind).T
+        if kind is object:
+            scores = np.clip(scores, -(2**63), 2**63 - 1)
+        scores = scores.astype(np.int64)
         usable = alive[np.ix_(q, some)] & (self.ids[q, None] != ids[some][None, :])
         everything = np.concatenate([self.scores[q], np.where(usable, scores, np.iinfo(np.int64).min)], 1)
         owners = np.concatenate([self.found[q], np.broadcast_to(ids[some], scores.shape)], 1)
@@ -88,8 +97,9 @@ class Search:
         self.found[q] = np.take_along_axis(owners, order, 1)
         self.real[q] = np.take_along_axis(real, order, 1)
 
-    def rows(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        return np.repeat(self.ids, self.k)[self.real.ravel()], self.found[self.real], self.scores[self.real]
+    def rows(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        real = self.real.ravel()
+        return np.repeat(self.marks, self.k)[real], np.repeat(self.ids, self.k)[real], self.found[self.real], self.scores[self.real]
 
 
 def _matrices(ids: np.ndarray, lists: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -108,27 +118,27 @@ def top_k(df: DataFrame, queries: DataFrame, k: int = 5, vec_id: str = "vec_id",
     """query_id, rank, vec_id, score: the k best of ``df`` for each row of ``queries``."""
     spark = df.sparkSession
     shape = lambda d: d.select(F.col(vec_id).cast("long").alias("vec_id"), quantized(F.col(vector), scale).alias("v")).where("vec_id is not null and v is not null")
-    asked, rows = stored(shape(queries)), shape(df)
+    asked, rows = stored(shape(queries).withColumn("mark", F.monotonically_increasing_id())), shape(df)  # a mark a query row
     blocks = max(1, -(-asked.count() // block))
     parts = []
     for b in range(blocks):
-        chosen = asked if blocks == 1 else asked.where(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == b)
+        chosen = asked if blocks == 1 else asked.where(F.pmod(F.xxhash64("mark"), F.lit(blocks)) == b)
         table = chosen.toArrow()  # a block
-        shared = spark.sparkContext.broadcast([*_matrices(np.asarray(table["vec_id"], dtype=np.int64), table["v"])] if table.num_rows else [])
+        shared = spark.sparkContext.broadcast([*_matrices(np.stack([np.asarray(table[c], dtype=np.int64) for c in ("vec_id", "mark")], 1), table["v"])] if table.num_rows else [])
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            searches = {vectors.shape[1]: Search(ids, vectors, k) for ids, vectors in shared.value}
+            searches = {vectors.shape[1]: Search(own[:, 0], own[:, 1], vectors, k) for own, vectors in shared.value}
             for batch in batches:
                 for ids, vectors in _matrices(np.asarray(batch.column(0)), batch.column(1)):
                     for a in range(0, len(ids), ROWS):
                         if vectors.shape[1] in searches:
                             searches[vectors.shape[1]].add(ids[a : a + ROWS], vectors[a : a + ROWS])
             for search in searches.values():
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in search.rows()], ["query_id", "vec_id", "score"])
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in search.rows()], ["mark", "query_id", "vec_id", "score"])
 
-        parts.append(rows.mapInArrow(run, "query_id long, vec_id long, score long"))
+        parts.append(rows.mapInArrow(run, "mark long, query_id long, vec_id long, score long"))
     best = reduce(DataFrame.unionAll, parts)
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    rank = F.row_number().over(Window.partitionBy("mark").orderBy(F.desc("score"), "vec_id"))
     return best.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 

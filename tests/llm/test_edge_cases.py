@@ -161,9 +161,38 @@ def test_topk_search(spark):
     out = sorted(map(tuple, top_k(df, df.where("vec_id % 50 = 0"), k=3).collect()))
     assert [r[1:] for r in out if r[0] == 0] == [(1, 1, 128 * 128 + 64 * 64), (2, 2, 128 * 128 + 64 * 64), (3, 50, 128 * 128 + 64 * 64)]
     assert [r[1:3] for r in out if r[0] == 100] == [(1, 7)]
+    named = df.withColumns({"query_id": F.lit("x"), "mark": F.lit("y"), "score": F.lit(1.5), "rank": F.lit("z"), "v": F.lit(None)})
+    assert sorted(map(tuple, top_k(named, named.where("vec_id % 50 = 0"), k=3).collect())) == out
     assert top_k(df, df.limit(0)).count() == 0 and top_k(df.limit(0), df.where("vec_id = 0")).count() == 0
 
 
+def test_topk_search_repeated_queries(spark):
+    """A repeated query id has ranks for each of its rows, in one block or in many."""
+    rows = [(50, [1.0, 0.0]), (50, [0.0, 1.0]), (100, [1.0, 1.0]), (100, [1.0, 1.0]), *((k, [k / 8, 1 - k / 8]) for k in range(1, 9))]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    asked = df.where("vec_id % 50 = 0")
+
+    def plain(i, v):
+        scored = sorted((-sum(int(256 * x) * int(256 * y) for x, y in zip(v, w, strict=True)), j) for j, w in rows if j != i)
+        return [(i, r + 1, j, -s) for r, (s, j) in enumerate(scored[:5])]
+
+    want = sorted(x for i, v in rows if i % 50 == 0 for x in plain(i, v))
+    for block in (4096, 1):
+        assert sorted(map(tuple, top_k(df, asked, block=block).collect())) == want
+
+
+def test_topk_search_large_numbers(spark):
+    """Whole numbers beyond doubles are exact, those beyond 64 bits stop at its ends."""
+    a = 2.0**20
+    rows = [(0, [a, 1.0]), (1, [a, 1.0]), (2, [a, 2.0]), (3, [a, 3.0])]
+    got = top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), spark.createDataFrame(rows[:1], "vec_id long, embedding array<double>"), k=2).collect()
+    assert [tuple(r) for r in got] == [(0, 1, 3, 2**56 + 3 * 2**16), (0, 2, 2, 2**56 + 2 * 2**16)]
+    rows = [(0, [1e300, 0.0]), (1, [1e300, 1.0]), (2, [-1e300, 1.0]), (3, [1e200, 0.0]), (4, [0.0, 1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = top_k(df, df.where("vec_id = 0"), k=4).collect()
+    assert [tuple(r) for r in got] == [(0, 1, 1, 2**63 - 1), (0, 2, 3, 2**63 - 1), (0, 3, 4, 0), (0, 4, 2, -(2**63))]
+
+
 def test_mixing(odd, empty):
     rows = mix_sources(odd).collect()
     assert len(rows) == len(odd_documents()) and {r["source"] for r in rows} == {"a", "b", "c", "abc"[0], None}
