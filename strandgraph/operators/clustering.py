@@ -130,9 +130,17 @@ def discovered_node_types(clusters: DataFrame, threshold: float = 0.9) -> DataFr
     return merge_by_labels(rows)
 
 
-def edge_clusters(patterns: DataFrame) -> DataFrame:
+def edge_clusters(patterns: DataFrame, method: str = "LSH") -> DataFrame:
+    """Edge patterns with cluster_id by LSH, MINHASH or KMEANS."""
     vectors = edge_vectors(patterns).cache()
-    return lsh_clusters(vectors, *lsh_parameters(0.5, vectors.count(), vectors.select("rel_type").distinct().count(), edges=True))
+    if method == "KMEANS":
+        return kmeans_clusters(vectors)
+    bucket, tables = lsh_parameters(0.5, vectors.count(), vectors.select("rel_type").distinct().count(), edges=True)
+    if method == "MINHASH":
+        return minhash_clusters(vectors, tables)
+    if method == "LSH":
+        return lsh_clusters(vectors, bucket, tables)
+    raise ValueError(f"no such method: {method}")
 
 
 def merge_edge_clusters(clusters: DataFrame, by_ends: bool = True) -> DataFrame:

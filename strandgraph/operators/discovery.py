@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.similarity import weighted_jaccard
 from ..model import EXTENDS
-from .abstraction import node_patterns
+from .abstraction import edge_patterns, node_patterns
 
 
 # --- label sets -------------------------------------------------------------
@@ -168,6 +168,40 @@ def key_set_types(nodes: DataFrame) -> DataFrame:
     return node_patterns(nodes).select(name.alias("type_id"), "labels", "keys", "n")
 
 
+def edge_key_set_types(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """type_id, labels (the type's name alone), src_labels, dst_labels, keys, n: distinct (type, end labels, key set)."""
+    name = F.concat_ws("|", "rel_type", F.array_join("src_labels", ":"), F.array_join("dst_labels", ":"), F.array_join("keys", ","))
+    return edge_patterns(edges, nodes).select(name.alias("type_id"), F.array("rel_type").alias("labels"), "src_labels", "dst_labels", "keys", "n")
+
+
+def partition_edge_types(types: DataFrame, parts: DataFrame) -> DataFrame:
+    """part, rel_type, src_labels, dst_labels, mandatory, optional: a row for each type and ends in a part, with the keys of the whole part."""
+    members = types.join(parts, "type_id").select("part", F.col("labels")[0].alias("rel_type"), "src_labels", "dst_labels").distinct()
+    return members.join(partition_types(types, parts).drop("labels"), "part")
+
+
+def attach_edges(edge_types: DataFrame, node_types: DataFrame) -> DataFrame:
+    """Edge types of which both ends are the exact label set of a node type, each once; the others attach to nothing."""
+    sets = node_types.select("labels").distinct()
+    found = edge_types.distinct()
+    for end in ("src_labels", "dst_labels"):
+        found = found.join(sets.withColumnRenamed("labels", end), end, "left_semi")
+    return found
+
+
+def edges_by_strings(triples: DataFrame, types: DataFrame) -> DataFrame:
+    """src, rel_type, dst of types (id, labels, properties) whose helper strings equal a triple's.
+
+    Triples have src_labels, src_properties, rel_type, dst_labels and dst_properties
+    as strings; a ``?`` in source labels is left out before the comparison.
+    """
+    end = lambda p: types.select(F.col("id").alias(p), F.col("labels").alias(f"{p}_labels"), F.col("properties").alias(f"{p}_properties"))
+    rows = triples.withColumn("src_labels", F.replace("src_labels", F.lit("?"), F.lit("")))
+    for p in ("src", "dst"):
+        rows = rows.join(end(p), [f"{p}_labels", f"{p}_properties"])
+    return rows.select("src", "rel_type", "dst").distinct()
+
+
 # --- merging clusters -------------------------------------------------------
 def merge_by_labels(clusters: DataFrame) -> DataFrame:
     """labels, members, mandatory, optional of clusters (cluster_id, labels, keys, n) with one label set.

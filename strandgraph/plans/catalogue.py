@@ -486,6 +486,44 @@ def weighted_jaccard_partition(spark, d):
     return di.partition_types(t, parts).select("part", *names("labels", by=":"), *names("mandatory", "optional"))
 
 
+def _edge_partition(spark, d):
+    """Node partitions and edge types of edge partitions: edge types have their type as label, weighted as node types are."""
+    n, e = nodes(spark, d), edges(spark, d)
+    frequency = ab.attribute_frequency(ab.structural_node_types(n, e), ab.structural_edge_types(e, n)).cache()
+    t, et = di.key_set_types(n).cache(), di.edge_key_set_types(e, n).cache()
+    made = di.partition_types(t, di.greedy_partition(t, di.type_similarities(t, frequency), 0.5))
+    return made, di.partition_edge_types(et, di.greedy_partition(et, di.type_similarities(et, frequency), 0.5))
+
+
+def _edge_rows(found: DataFrame) -> DataFrame:
+    return found.select("rel_type", *names("src_labels", "dst_labels", by=":"), *names("mandatory", "optional"))
+
+
+#: Edge types share their one label or nothing, so that partitions are the types' names.
+EDGE_PARTS = """pt AS (SELECT DISTINCT sl, ekeys.rel, dl, keys FROM ekeys JOIN ends USING (eid)), tn AS (SELECT rel, count(*) AS n FROM pt GROUP BY 1),
+tk AS (SELECT rel, k, count(*) AS c FROM (SELECT rel, unnest(keys) AS k FROM pt) GROUP BY 1, 2),
+ts AS (SELECT tn.rel, coalesce(string_agg(k, ',' ORDER BY k) FILTER (c = n), '') AS mandatory, coalesce(string_agg(k, ',' ORDER BY k) FILTER (c < n), '') AS optional FROM tn LEFT JOIN tk ON tk.rel = tn.rel GROUP BY 1)"""
+
+
+@query(graph("SELECT DISTINCT pt.rel AS rel_type, array_to_string(sl, ':') AS src_labels, array_to_string(dl, ':') AS dst_labels, mandatory, optional FROM pt JOIN ts ON ts.rel = pt.rel", True, EDGE_PARTS))
+def weighted_jaccard_edge_partition(spark, d):
+    return _edge_rows(_edge_partition(spark, d)[1])
+
+
+@query()
+def weighted_jaccard_attached_edges(spark, d):
+    made, found = _edge_partition(spark, d)
+    return _edge_rows(di.attach_edges(found, made))
+
+
+@query(graph("SELECT DISTINCT a.t AS src, rel AS rel_type, b.t AS dst FROM se JOIN kn AS a ON a.labels = sl AND a.keys = sk JOIN kn AS b ON b.labels = dl AND b.keys = dk", extra=SIGS + f", kt AS (SELECT DISTINCT labels, keys FROM nkeys), kn AS (SELECT *, {TID} AS t FROM kt)"))
+def edges_by_helper_strings(spark, d):
+    n, e = nodes(spark, d), edges(spark, d)
+    types = di.key_set_types(n).select(F.col("type_id").alias("id"), *names("labels", by=":"), joined(F.col("keys")).alias("properties")).cache()
+    ends = (c for p in ("src", "dst") for c in (joined(F.col(f"{p}_labels"), ":").alias(f"{p}_labels"), joined(F.col(f"{p}_keys")).alias(f"{p}_properties")))
+    return di.edges_by_strings(ab.structural_edge_types(e, n).select("rel_type", *ends), types)
+
+
 def _patterns(spark, d):
     return ab.node_patterns(nodes(spark, d))
 
@@ -515,6 +553,20 @@ def lsh_edge_clusters(spark, d):
     return cl.merge_edge_clusters(e, by_ends=False).select("rel_type", "members", *names("mandatory", "optional"), *names("src_sets", "dst_sets", by=" "))
 
 
+@query(graph("SELECT array_to_string(sl, ':') AS src_labels, rel AS rel_type, array_to_string(dl, ':') AS dst_labels, n AS members, array_to_string(mandatory, ',') AS mandatory, array_to_string(optional, ',') AS optional FROM et", True))
+def minhash_edge_clusters(spark, d):
+    e = cl.edge_clusters(ab.edge_patterns(edges(spark, d), nodes(spark, d)), "MINHASH")
+    return cl.merge_edge_clusters(e).select(*names("src_labels", "dst_labels", by=":"), "rel_type", "members", *names("mandatory", "optional"))
+
+
+@query(graph("""SELECT rn.rel AS rel_type, members, mandatory, optional, src_sets, dst_sets FROM rn JOIN rs ON rs.rel = rn.rel""", True, """rn AS (SELECT rel, count(*) AS members, string_agg(DISTINCT array_to_string(sl, ':'), ' ' ORDER BY array_to_string(sl, ':')) AS src_sets, string_agg(DISTINCT array_to_string(dl, ':'), ' ' ORDER BY array_to_string(dl, ':')) AS dst_sets FROM ends GROUP BY 1),
+rk AS (SELECT rel, k, count(*) AS c FROM edges JOIN ep USING (eid) GROUP BY 1, 2),
+rs AS (SELECT rn.rel, coalesce(string_agg(k, ',' ORDER BY k) FILTER (c = members), '') AS mandatory, coalesce(string_agg(k, ',' ORDER BY k) FILTER (c < members), '') AS optional FROM rn LEFT JOIN rk ON rk.rel = rn.rel GROUP BY 1)"""))
+def kmeans_edge_clusters(spark, d):
+    e = cl.edge_clusters(ab.edge_patterns(edges(spark, d), nodes(spark, d)), "KMEANS")
+    return cl.merge_edge_clusters(e, by_ends=False).select("rel_type", "members", *names("mandatory", "optional"), *names("src_sets", "dst_sets", by=" "))
+
+
 @query()
 def gmm_split(spark, d):
     return cl.mixture_tree(cl.sampled(_patterns(spark, d))).select("path", *names("labels", by=":"), *names("keys"), "n")
