@@ -1,10 +1,7 @@
 """Queries that take all of what a query beside them takes in part."""
 
-import pytest
-
 from strandgraph.plans.catalogue import QUERIES, SQL
 
-from .llm import brute
 from .oracle import compare
 
 
@@ -17,19 +14,6 @@ def test_edge_similarities_of_all_types(spark, small):
     assert any(r["a"].startswith("HAS_LINE|") and r["b"].startswith("HAS_LINE|") for r in rows)
 
 
-def test_close_duplicates(spark, small):
-    pipeline = pytest.importorskip("corpus_pipeline")
-    assert [n for n, _ in pipeline.CLOSE_STAGES] == [n for n, _ in pipeline.STAGES]
-    words = [f"word{k}" for k in range(50)]
-    edited = [(-2, " ".join(words), "en", "a", 1), (-1, " ".join([*words[:25], "other", *words[26:]]), "en", "a", 1)]
-    docs = spark.read.parquet(f"{small}/documents.parquet")
-    docs = docs.unionByName(spark.createDataFrame(edited, "doc_id long, text string, lang string, source string, n_chars long"))
-    stage = dict(pipeline.CLOSE_STAGES)["ngram_jaccard_join"]
-    kept = {r["doc_id"] for r in stage(spark, docs, small).select("doc_id").collect()}
-    assert kept == {i for i, _, c in brute.jaccard([tuple(r) for r in docs.select("doc_id", "text").collect()], 5, 80) if i == c}
-    assert -2 in kept and -1 not in kept
-
-
 def test_mixtures_of_each_label_set(spark):
     from strandgraph.operators import clustering as cl
 
