@@ -1,6 +1,10 @@
 """The pipeline stage that takes near copies of 5 words and 0.8."""
 
+from glob import glob
+
 import corpus_pipeline
+from strandgraph.llm import jaccard_join
+from strandgraph.llm.shared import shared_folder
 
 from . import brute
 
@@ -15,3 +19,20 @@ def test_close_duplicates(spark, small):
     kept = {r["doc_id"] for r in stage(spark, docs, small).select("doc_id").collect()}
     assert kept == {i for i, _, c in brute.jaccard([tuple(r) for r in docs.select("doc_id", "text").collect()], 5, 80) if i == c}
     assert -2 in kept and -1 not in kept
+
+
+def test_stages_leave_one_table(spark, small):
+    tables = f"{shared_folder(spark).removeprefix('file:')}/*/_SUCCESS"
+    before = set(glob(tables))
+    assert corpus_pipeline.run_close(spark, small).count()
+    assert len(set(glob(tables)) - before) == 1
+
+
+def test_blocks_in_turns(spark, monkeypatch):
+    """Families' blocks go through the shuffle in several turns, and no link is lost."""
+    base = [f"word{k}" for k in range(40)]
+    rows = [(100 * a + b, " ".join([f"own{a}x{k}" if k % 6 == 0 and a else w for k, w in enumerate(base)] + [f"end{a}"] * (b % 3))) for a in range(6) for b in range(5)]
+    monkeypatch.setattr(jaccard_join, "AT_ONCE", 20)
+    monkeypatch.setattr(jaccard_join, "SETS_AT_ONCE", 0)
+    found = jaccard_join.similar_documents(spark.createDataFrame(rows, "doc_id long, text string"), n=2, percent=50, block=4)
+    assert sorted(tuple(r) for r in found.collect()) == sorted(brute.jaccard(rows, 2, 50))
