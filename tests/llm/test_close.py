@@ -34,5 +34,8 @@ def test_blocks_in_turns(spark, monkeypatch):
     rows = [(100 * a + b, " ".join([f"own{a}x{k}" if k % 6 == 0 and a else w for k, w in enumerate(base)] + [f"end{a}"] * (b % 3))) for a in range(6) for b in range(5)]
     monkeypatch.setattr(jaccard_join, "AT_ONCE", 20)
     monkeypatch.setattr(jaccard_join, "SETS_AT_ONCE", 0)
+    turns, links = [], jaccard_join._links
+    monkeypatch.setattr(jaccard_join, "_links", lambda *given: turns.append(given) or links(*given))
     found = jaccard_join.similar_documents(spark.createDataFrame(rows, "doc_id long, text string"), n=2, percent=50, block=4)
+    assert len(turns) > 2  # stars, and at least two turns
     assert sorted(tuple(r) for r in found.collect()) == sorted(brute.jaccard(rows, 2, 50))
