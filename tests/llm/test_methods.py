@@ -1,6 +1,8 @@
 """The parts the operators are made of: round trips, brute force, held-out accuracy."""
 
+import re
 import zlib
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -17,6 +19,7 @@ from strandgraph.llm.kernels import Polynomial, Words, flat, pieces, sliding_min
 from strandgraph.llm.language_id import fit, label, marginals
 from strandgraph.llm.packing import encoder, fill, patterns, places
 from strandgraph.llm.queries import op4_language_id, tokenizer_path
+from strandgraph.llm.shared import tidy
 from strandgraph.llm.suffix_dedup import BlindTries, common
 
 from . import brute
@@ -170,6 +173,19 @@ def test_components_in_few_jobs(spark, monkeypatch):
     assert sorted(components(edges).collect()) == got
 
 
+def test_tidy_gives_memory_back(spark):
+    """What is freed between pieces that stay leaves the driver's process."""
+    resident = lambda: int(re.search(r"VmRSS:\s+(\d+)", Path("/proc/self/status").read_text())[1]) // 1024
+    pieces_, stay = [], []
+    for _ in range(3000):
+        pieces_.append(np.ones(100_000, np.uint8))
+        stay.append(np.ones(1000, np.uint8))
+    del pieces_
+    before = resident()
+    tidy(spark)
+    assert before - resident() > 150
+
+
 def test_forward_backward():
     rng = np.random.default_rng(5)
     lengths = [1, 0, 3, 130, 49]
